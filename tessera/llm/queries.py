@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.minhash_dedup import near_duplicates
+from tessera.llm.substring_dedup import remove_repeats
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document when repeated windows of 20 words go."""
+    return remove_repeats(table(spark, sf_dir, "documents"), size=20).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
+    "op10_substring": op10_substring,
 }
 
 #: The white space that ends a word, for DuckDB.
@@ -37,4 +44,14 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""",
+    "op10_substring": rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {_GAP}), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
+c AS (SELECT x.doc_id, x.i, x.x, max(r.i) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NULL AS kept
+  FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.i = x.i),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE NOT kept) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE kept) AS t FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN a USING (doc_id)""",
 }
