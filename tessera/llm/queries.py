@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.mixing import mix
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.substring_dedup import remove_repeats
 
@@ -21,8 +22,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), size=20).drop("kept_text")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of 150 % of all words; sources weigh 5, 2, 1 and are read twice at most."""
+    return mix(table(spark, sf_dir, "documents")).drop("times")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
+    "op8_mixing": op8_mixing,
     "op10_substring": op10_substring,
 }
 
@@ -44,6 +51,23 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""",
+    "op8_mixing": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS k, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS a,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), {_GAP}), lambda x: x <> '')) AS size FROM documents),
+s AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
+w AS (SELECT *, 2 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY k) - 1) % 3 + 1)::INT] AS weight FROM s),
+r AS (SELECT *, cap::DOUBLE / weight AS ratio FROM w),
+l AS (
+  SELECT *, ((sum(source_size) OVER () * 150)::DOUBLE / 100.0::DOUBLE - coalesce(sum(cap) OVER b, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  FROM r WINDOW b AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT level FROM l WHERE weight * level < cap ORDER BY ratio, k LIMIT 1),
+t AS (SELECT k, source_size, CASE WHEN weight * level >= cap THEN cap::DOUBLE ELSE weight * (SELECT level FROM o) END AS target FROM l),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size))::BIGINT ELSE 0 END AS whole FROM t),
+c AS (SELECT d.*, sum(size) OVER (PARTITION BY k ORDER BY a, size ROWS UNBOUNDED PRECEDING) AS run FROM d)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (whole + CASE WHEN whole < 2 AND 2 * run - size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c JOIN f USING (k)""",
     "op10_substring": rf"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {_GAP}), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
