@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.mixing import mix
 from tessera.llm.minhash_dedup import near_duplicates
+from tessera.llm.resharding import reshard
 from tessera.llm.substring_dedup import remove_repeats
+from tessera.llm.warc import round_trip
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +30,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back by the salvage reader."""
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def old_layout(shards: int = 16):
+    """The layout that op5 starts from: a source lies in one shard, so shards are as uneven as sources."""
+    return F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(shards))
+
+
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards laid out by source to 24 of equal row counts."""
+    return reshard(table(spark, sf_dir, "documents"), old_layout(), 24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op5_resharding": op5_resharding,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
     "op10_substring": op10_substring,
@@ -37,6 +57,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _GAP = r"'[\x20\x09-\x0D]+'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform(range(0, 4), lambda j:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || sha[i * 5 + 1:i * 5 + 5])::INT >> (15 - 5 * j)::INT) & 31) + 1]), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
     "op6_minhash": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_GAP}), lambda x: x <> '') AS w
