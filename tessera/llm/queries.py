@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.mixing import mix
 from tessera.llm.minhash_dedup import near_duplicates
+from tessera.llm.pii import find
+from tessera.llm.progressive_jpeg import digests, store_column
 from tessera.llm.resharding import reshard
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.warc import round_trip
@@ -45,11 +47,23 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard(table(spark, sf_dir, "documents"), old_layout(), 24)
 
 
+def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in the coefficients of a progressive JPEG, and read back."""
+    return digests(store_column(table(spark, sf_dir, "documents")))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by strict patterns, and spans that weak supervision adds."""
+    return find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op5_resharding": op5_resharding,
     "op6_minhash": op6_minhash,
+    "op7_jpeg": op7_jpeg,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_substring": op10_substring,
 }
 
