@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.langid import identify
 from tessera.llm.mixing import mix
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.pii import find
 from tessera.llm.progressive_jpeg import digests, store_column
+from tessera.llm.quality import classify
 from tessera.llm.resharding import reshard
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.warc import round_trip
@@ -57,8 +59,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from two thirds of the labels."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_warc": op2_warc,
+    "op3_langid": op3_langid,
     "op5_resharding": op5_resharding,
     "op6_minhash": op6_minhash,
     "op7_jpeg": op7_jpeg,
