@@ -11,6 +11,8 @@ streamed from sorted partitions in blocks; no bucket is gathered and no group's
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, tune
 from tessera.llm.components import components
-from tessera.llm.words import LOWER, as_long, chunks, mix
+from tessera.llm.words import LOWER, as_long, chunks, column_bytes, mix
 
 ROWS, BANDS, BITS = 4, 32, 2
 PERMS = ROWS * BANDS
@@ -27,10 +29,15 @@ FIELDS = np.uint64(0x5555555555555555)
 MARGIN = 0.21
 #: Members of a bucket compared at once.
 BLOCK = 1024
+#: Rounds of best pairs at most before every pair that is left is confirmed.
+ROUNDS = 2
+PAIRS = "a long, b long, est double"
 
+#: Minima of the longer signatures that sets left open by the first round get, and their margin: again five deviations.
+FINE_PERMS, FINE_MARGIN = 1024, 0.075
 _rng = np.random.default_rng(20240229)
-MULT = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
-PLUS = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
+MULT = _rng.integers(1, 1 << 63, FINE_PERMS, dtype=np.uint64) | np.uint64(1)
+PLUS = _rng.integers(0, 1 << 63, FINE_PERMS, dtype=np.uint64)
 
 
 def shingle_sets(arr: pa.Array, k: int):
@@ -53,18 +60,18 @@ def shingle_sets(arr: pa.Array, k: int):
             yield i + d, alone[d] if d in alone else np.unique(g[cut_at[d] : cut_at[d + 1]])
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of PERMS minima per non-empty set: min of the high 32 bits of multiply-add hashes."""
+def minima(sets: list[np.ndarray], perms: int = PERMS) -> np.ndarray:
+    """One row of perms minima per non-empty set: min of the high 32 bits of multiply-add hashes."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), PERMS), np.uint32)
-    for p in range(PERMS):
+    out = np.empty((len(sets), perms), np.uint32)
+    for p in range(perms):
         out[:, p] = np.minimum.reduceat(((flat * MULT[p] + PLUS[p]) >> np.uint64(32)).astype(np.uint32), at)
     return out
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """Low BITS bits of each minimum, 64 // BITS to a word: (rows, PERMS * BITS // 64)."""
+    """Low BITS bits of each minimum, 64 // BITS to a word: (rows, minima * BITS // 64)."""
     per = 64 // BITS
     low = (m & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(m), -1, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
@@ -82,7 +89,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a ^ b
     differ = np.bitwise_count((x | (x >> np.uint64(1))) & FIELDS).sum(-1, dtype=np.int64)
     chance = 2.0**-BITS
-    return (1 - differ / PERMS - chance) / (1 - chance)
+    return (1 - differ / (a.shape[-1] * 64 // BITS) - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -118,39 +125,72 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>")
 
 
-def _runs(batches, width: int):
-    """Streams sorted bucket rows as runs of one key: arrays of key, id, comp, signature words."""
+class Run(NamedTuple):
+    """Members of one bucket: columns of arrays. common: shingles that other components may share."""
+
+    key: np.ndarray
+    ids: np.ndarray
+    comp: np.ndarray
+    size: np.ndarray
+    common: np.ndarray
+    sig: np.ndarray
+
+
+def _runs(batches, wide: bool = True):
+    """Streams rows sorted by key as runs of two members or more; sig is empty if not wide."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, width)
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)] + [sig]
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+        if wide:
+            now.append(column_bytes(batch.column(5))[0].view(np.uint64).reshape(batch.num_rows, -1))
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         edges = np.flatnonzero(np.diff(now[0])) + 1
-        bounds = [0, *edges.tolist()]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if b - a > 1:
-                yield [x[a:b] for x in now]
+        bounds = np.concatenate([[0], edges])
+        for i in np.flatnonzero(np.diff(bounds) > 1):
+            yield [x[bounds[i] : bounds[i + 1]] for x in now]
         rest = [x[bounds[-1] :] for x in now]
     if rest is not None and len(rest[0]) > 1:
         yield rest
 
 
-def _best(least: float):
+def _shared(batches):
+    """Key and id of the members of buckets that hold two or more."""
+    keys, ids, n = [], [], 0
+    for run in _runs(batches, wide=False):
+        keys.append(run[0])
+        ids.append(run[1])
+        n += len(run[0])
+        if n > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], names=["key", "doc_id"])
+            keys, ids, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], names=["key", "doc_id"])
+
+
+def may_link(na, nb, common, percent: int):
+    """False where sets of na and nb members with at most `common` in common cannot reach the similarity."""
+    common = np.minimum(common, np.minimum(na, nb))
+    return 100 * common >= percent * (na + nb - common)
+
+
+def _best(least: float, percent: int):
     """For each set its best partner of a lower position within a block of its bucket, if its estimate is at least least."""
 
     def run(batches):
         a, b, e = [], [], []
-        for _, ids, _, sig in _runs(batches, PERMS * BITS // 64):
-            for i in range(0, len(ids), BLOCK):
+        for r in map(Run._make, _runs(batches)):
+            for i in range(0, len(r.ids), BLOCK):
                 # a block also sees the last set of the one before it, so that a long bucket's blocks hang together
-                x, s = ids[max(0, i - 1) : i + BLOCK], sig[max(0, i - 1) : i + BLOCK]
+                cut_at = slice(max(0, i - 1), i + BLOCK)
+                x, n, s = r.ids[cut_at], r.size[cut_at], r.sig[cut_at]
                 for lo in range(1, len(x), 128):
                     hi = min(len(x), lo + 128)
                     est = estimate(s[lo:hi, None, :], s[None, :hi, :])
                     est[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = -1
+                    est[~may_link(n[lo:hi, None], n[None, :hi], n[None, :hi], percent)] = -1
                     p = est.argmax(1)
                     v = est[np.arange(hi - lo), p]
                     ok = v >= least
@@ -165,25 +205,55 @@ def _best(least: float):
     return run
 
 
-def _across(least: float):
-    """Every pair of a bucket between different components whose estimate is at least least."""
+def _blocks(comp: np.ndarray, most: int = 256) -> list[tuple[int, int]]:
+    """Bounds of blocks of sorted comp: of whole small components, or of up to `most` members of one larger component."""
+    edges = [0, *(np.flatnonzero(np.diff(comp)) + 1).tolist(), len(comp)]
+    out, lo = [], 0
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - lo > most:
+            if a > lo:
+                out.append((lo, a))
+            lo = a
+            if b - a > most:
+                out += [(x, min(b, x + most)) for x in range(a, b, most)]
+                lo = b
+    return out + [(lo, len(comp))] * (lo < len(comp))
+
+
+def _across(least: float, percent: int, whole: bool):
+    """Pairs of a bucket between different components that may link by estimate, sizes and common shingles; if not
+    whole, only the best such pair of each set, so no more rows than the bucket has."""
 
     def run(batches):
         a, b, e = [], [], []
-        for _, ids, comp, sig in _runs(batches, PERMS * BITS // 64):
-            order = np.argsort(comp, kind="stable")
-            ids, comp, sig = ids[order], comp[order], sig[order]
-            edges = np.flatnonzero(np.diff(comp)) + 1
-            # members of the largest component are compared only with the others, never among themselves
-            for lo, hi in zip([0, *edges], [*edges, len(comp)], strict=True):
-                for q in range(lo, hi, 256):
-                    qs = slice(q, min(hi, q + 256))
-                    for r in range(hi, len(comp), 4096):
-                        est = estimate(sig[qs][:, None, :], sig[None, r : r + 4096, :])
-                        i, j = np.nonzero(est >= least)
-                        a.append(ids[qs][i])
-                        b.append(ids[r : r + 4096][j])
+        for r in map(Run._make, _runs(batches)):
+            order = np.argsort(r.comp, kind="stable")
+            r = Run(*(x[order] for x in r))
+            top, mate = np.full(len(order), -1.0), np.zeros(len(order), np.int64)
+            for lo, hi in _blocks(r.comp):
+                qs = slice(lo, hi)
+                for t in range(lo, len(order), 2048):
+                    ts = slice(t, t + 2048)
+                    ok = (r.comp[qs][:, None] < r.comp[None, ts]) & may_link(r.size[qs][:, None], r.size[None, ts], np.minimum(r.common[qs][:, None], r.common[None, ts]), percent)
+                    if not ok.any():
+                        continue
+                    est = estimate(r.sig[qs][:, None, :], r.sig[None, ts, :])
+                    est[~ok | (est < least)] = -1
+                    if whole:
+                        i, j = np.nonzero(est >= 0)
+                        a.append(r.ids[qs][i])
+                        b.append(r.ids[ts][j])
                         e.append(est[i, j])
+                        continue
+                    for part, other, axis in ((qs, ts, 1), (ts, qs, 0)):
+                        p, v = est.argmax(axis), est.max(axis)
+                        better = v > top[part]
+                        mate[part] = np.where(better, p + other.start, mate[part])
+                        top[part] = np.where(better, v, top[part])
+            if not whole and (i := np.flatnonzero(top >= 0)).size:
+                a.append(r.ids[i])
+                b.append(r.ids[mate[i]])
+                e.append(top[i])
             if sum(map(len, a)) > 20_000:
                 yield _pairs(a, b, e)
                 a, b, e = [], [], []
@@ -198,6 +268,37 @@ def _pairs(a, b, e) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(e)], names=["a", "b", "est"])
 
 
+def _common(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, common: how many shingles of each of texts (doc_id, comp, text) another component has as well. Links
+    between components can only consist of these, which bounds a pair's similarity without looking at the pair."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [as_long(s) for _, s in shingle_sets(batch.column(2), k)]
+            n = [len(s) for s in sets]
+            at = np.repeat(np.arange(len(n)), n)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[at]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[at])], names=["shingle", "doc_id", "comp"])
+
+    rows = cut(texts.select("doc_id", "comp", "text").mapInArrow(run, "shingle long, doc_id long, comp long"), "shingles")
+    held = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
+    return rows.join(held, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("common"))
+
+
+def _fine(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, sig: signatures of FINE_PERMS minima."""
+
+    def run(batches):
+        for batch in batches:
+            sig = []
+            sets = [s for _, s in shingle_sets(batch.column(1), k)]
+            for i in range(0, len(sets), 64):
+                sig += [x.tobytes() for x in packed(minima(sets[i : i + 64], FINE_PERMS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], names=["doc_id", "sig"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -231,27 +332,47 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     heads = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     heads = cut(heads, "heads")
     reps = full.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select(F.explode("keys").alias("key"), "doc_id", F.lit(0).cast("long").alias("comp"), "sig")
+    rows = reps.select(F.explode("keys").alias("key"), "doc_id", *(F.lit(0).cast("long").alias(c) for c in ("x", "y", "z")))
     least = percent / 100 - MARGIN
-
-    def shared(batches):
-        for run in _runs(batches, PERMS * BITS // 64):
-            yield pa.RecordBatch.from_arrays([pa.array(run[0]), pa.array(run[1]), pa.array([x.tobytes() for x in run[3]], pa.binary())], names=["key", "doc_id", "sig"])
+    by_key = lambda df: df.repartition(shuffles, "key").sortWithinPartitions("key", "doc_id")
 
     # buckets of two sets or more; single ones are most of the rows and end here
-    buckets = cut(rows.repartition(shuffles, "key").sortWithinPartitions("key", "doc_id").mapInArrow(shared, "key long, doc_id long, sig binary"), "buckets")
-    flat = buckets.select("key", "doc_id", F.lit(0).cast("long").alias("comp"), "sig")
-    best = flat.repartition(shuffles, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_best(least), "a long, b long, est double")
+    buckets = cut(by_key(rows).mapInArrow(_shared, "key long, doc_id long"), "buckets")
+    in_buckets = buckets.select("doc_id").distinct()
+    signed = cut(reps.join(in_buckets, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"), "signed")
+    buckets = cut(buckets.join(signed, "doc_id").select("key", "doc_id", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("size"), F.col("n_shingles").alias("common"), "sig"), "signed")
+    best = by_key(buckets).mapInArrow(_best(least, percent), PAIRS)
     best = best.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
     first = cut(_confirm(cut(best, "best"), docs, k, percent), "links")
     comp = components(first)
 
-    mixed = buckets.join(comp.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "sig")
-    open_keys = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    mixed = mixed.join(open_keys, "key", "left_semi")
-    rest = mixed.repartition(shuffles, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_across(least), "a long, b long, est double").select("a", "b").distinct()
-    second = _confirm(cut(rest, "rest"), docs, k, percent)
-    comp = components(cut(first.unionByName(second), "links"))
+    def mix_of(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+        """Buckets that still hold two components, with the components of now."""
+        now = buckets.drop("comp").join(comp.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        return cut(now.join(open_keys, "key", "left_semi").select(*buckets.columns), "mixed")
+
+    # each round joins every component to another by the best pair of each of its sets, while that finds links
+    mixed, links = mix_of(buckets, comp), first
+    for turn in range(ROUNDS):
+        near = by_key(mixed).mapInArrow(_across(least, percent, False), PAIRS)
+        near = cut(near.select("a", "b", "est").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "est")).groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "near")
+        if turn == 0:
+            # how many shingles of each open set other components of open sets hold: only those can make a link
+            of = mixed.groupBy("doc_id").agg(F.first("comp").alias("comp"))
+            open_sets = near.select(F.col("a").alias("doc_id")).join(of, "doc_id")
+            texts = cut(docs.select("doc_id", "text").join(open_sets, "doc_id").dropDuplicates(["doc_id"]), "texts")
+            mixed = cut(mixed.drop("common", "sig").join(_common(texts, k), "doc_id").join(_fine(texts, k), "doc_id").select(*buckets.columns), "mixed")
+            least = percent / 100 - FINE_MARGIN
+        more = cut(_confirm(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), docs, k, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        comp = components(links)
+        mixed = mix_of(mixed, comp)
+    rest = by_key(mixed).mapInArrow(_across(least, percent, True), PAIRS).select("a", "b").distinct()
+    last = _confirm(cut(rest, "rest"), docs, k, percent)
+    comp = components(cut(links.unionByName(last), "links"))
 
     named = heads.join(comp.select(F.col("node").alias("head"), "comp"), "head", "left").select("head", "set_a", "set_b", "n_shingles", F.coalesce("comp", "head").alias("component_id"), "copies")
     # a set that stands alone is its own component; only the others carry news
