@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.decontamination import find_leaks
 from tessera.llm.langid import identify
 from tessera.llm.mixing import mix
 from tessera.llm.minhash_dedup import near_duplicates
@@ -69,10 +70,16 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a benchmark item, in whatever order."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op3_langid": op3_langid,
+    "op4_tiling": op4_tiling,
     "op5_resharding": op5_resharding,
     "op6_minhash": op6_minhash,
     "op7_jpeg": op7_jpeg,

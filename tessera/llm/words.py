@@ -60,6 +60,7 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     first: np.ndarray  # docs + 1 positions in start
+    sizes: np.ndarray  # bytes of each document
 
     def hashes(self, table: np.ndarray | None = None) -> np.ndarray:
         return spans_hash(self.buf if table is None else table[self.buf], self.start, self.end)
@@ -95,7 +96,7 @@ def split(buf: np.ndarray, off: np.ndarray) -> Words:
     start = np.flatnonzero(full[1:-1] & (gap[:-2] | edge[:-1]))
     end = np.flatnonzero(full[1:-1] & (gap[2:] | edge[1:])) + 1
     doc = np.searchsorted(off, start, "right") - 1
-    return Words(buf, docs, start, end, doc, np.searchsorted(doc, np.arange(docs + 1)))
+    return Words(buf, docs, start, end, doc, np.searchsorted(doc, np.arange(docs + 1)), np.diff(off))
 
 
 def chunks(arr: pa.Array) -> Iterator[tuple[int, int, Words]]:
