@@ -131,6 +131,8 @@ def covered(w: Words, h: np.ndarray, index: Index, tile: int, coverage: float):
     if not parts:
         return
     doc, item, pos, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(doc):
+        return
     order = np.lexsort((pos, item, doc))
     doc, item, pos, place, size = (x[order] for x in (doc, item, pos, place, size))
     new = np.ones(len(doc), bool)
