@@ -79,9 +79,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) of a multinomial model; x: rows of features, y: class numbers. Only touched weights are updated."""
-    terms = x.shape[1]
+Row = tuple[np.ndarray, np.ndarray]  # terms and their values
+
+
+def ftrl(rows: list[Row], y: np.ndarray, terms: int, classes: int, epochs: int = EPOCHS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of a multinomial model; y: class numbers. Only the weights of a row's terms are updated by it."""
     z, n = np.zeros((terms + 1, classes)), np.zeros((terms + 1, classes))
 
     def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
@@ -89,9 +91,9 @@ def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS, seed:
 
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for r in rng.permutation(len(x)):
-            at = np.append(np.flatnonzero(x[r]), terms)
-            v = np.append(x[r, at[:-1]], 1.0)
+        for r in rng.permutation(len(rows)):
+            at = np.append(rows[r][0].astype(np.int64), terms)
+            v = np.append(rows[r][1], 1.0)
             zs, ns = z[at], n[at]
             w = weights(zs, ns)
             p = softmax(v @ w)
@@ -123,16 +125,18 @@ def fit(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE) ->
     df, n = document_frequencies(docs.select(F.col("text").cast("string")), gram_counts, TERMS)
     weight = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     known = learn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text")).filter("label IS NOT NULL AND text IS NOT NULL")
-    labels, x = sample_counts(bounded_sample(known, "label", per_language, seed=11), gram_counts, TERMS)
+    labels, pairs = sample_counts(bounded_sample(known, "label", per_language, seed=11), gram_counts, TERMS)
     languages = sorted(set(labels))
     if not languages:
         return Model([], weight, np.zeros((TERMS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     y = np.array([languages.index(v) for v in labels])
-    x = weighted(x, weight)
+    rows = [(at, weighted(n_of[None, :].astype(np.float32), weight[at])[0]) for at, n_of in pairs]
     apart = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    w, b = ftrl(x[~apart], y[~apart], len(languages))
-    seen = apart if apart.any() else ~apart
-    return Model(languages, weight, w, b, calibrate(x[seen] @ w + b, y[seen]) if len(languages) > 1 else 1.0)
+    w, b = ftrl([rows[i] for i in np.flatnonzero(~apart)], y[~apart], TERMS, len(languages))
+    if len(languages) == 1:
+        return Model(languages, weight, w, b, 1.0)
+    seen = np.flatnonzero(apart if apart.any() else ~apart)
+    return Model(languages, weight, w, b, calibrate(np.array([rows[i][1] @ w[rows[i][0]] + b for i in seen]), y[seen]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

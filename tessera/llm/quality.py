@@ -69,8 +69,8 @@ def document_frequencies(texts: DataFrame, counter, terms: int) -> tuple[np.ndar
     return df[:-1], int(df[-1])
 
 
-def sample_counts(rows: DataFrame, counter, terms: int) -> tuple[list, np.ndarray]:
-    """(labels, counts) of a bounded sample (doc_id, label, text), in doc_id order; sent as 16-bit pairs."""
+def sample_counts(rows: DataFrame, counter, terms: int) -> tuple[list, list[tuple[np.ndarray, np.ndarray]]]:
+    """(labels, (terms, counts) of each) of a bounded sample (doc_id, label, text), in doc_id order; sent as 16-bit pairs."""
     kind = dict(rows.dtypes)["label"]
 
     def run(batches):
@@ -83,11 +83,11 @@ def sample_counts(rows: DataFrame, counter, terms: int) -> tuple[list, np.ndarra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "counts"])
 
     got = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label {kind}, counts binary").collect(), key=lambda r: (r.doc_id, bytes(r.counts)))
-    x = np.zeros((len(got), terms), np.float32)
-    for i, r in enumerate(got):
+    pairs = []
+    for r in got:
         both = np.frombuffer(bytes(r.counts), np.uint16)
-        x[i, both[: len(both) // 2]] = both[len(both) // 2 :]
-    return [r.label for r in got], x
+        pairs.append((both[: len(both) // 2], both[len(both) // 2 :]))
+    return [r.label for r in got], pairs
 
 
 class Model(NamedTuple):
@@ -116,10 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
     whole = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     some = F.broadcast(bounded_sample(known, "label", per_class, seed=7))
-    y, x = sample_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id"), term_counts, TERMS)
+    y, pairs = sample_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id"), term_counts, TERMS)
     y = np.array(y, np.float32)
     if not len(y):
         return Model(weight, np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), y, y, 0.5)
+    x = np.zeros((len(y), TERMS), np.float32)
+    for row, (at, n_of) in zip(x, pairs, strict=True):
+        row[at] = n_of
     x = weighted(x, weight)
     rng = np.random.default_rng(5)
     q = rng.standard_normal((TERMS, RANK + 16)).astype(np.float32)
