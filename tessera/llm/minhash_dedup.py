@@ -134,6 +134,7 @@ class Run(NamedTuple):
     size: np.ndarray
     common: np.ndarray
     sig: np.ndarray
+    keys: np.ndarray  # all band keys of a member, one column each
 
 
 def _runs(batches, wide: bool = True):
@@ -145,6 +146,7 @@ def _runs(batches, wide: bool = True):
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
         if wide:
             now.append(column_bytes(batch.column(5))[0].view(np.uint64).reshape(batch.num_rows, -1))
+            now.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_columns > 6 else np.zeros((batch.num_rows, 0), np.int64))
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         edges = np.flatnonzero(np.diff(now[0])) + 1
@@ -221,8 +223,9 @@ def _blocks(comp: np.ndarray, most: int = 256) -> list[tuple[int, int]]:
 
 
 def _across(least: float, percent: int, whole: bool):
-    """Pairs of a bucket between different components that may link by estimate, sizes and common shingles; if not
-    whole, only the best such pair of each set, so no more rows than the bucket has."""
+    """Pairs of a bucket between different components that may link by estimate, sizes and common shingles. If whole,
+    each from the first of the buckets that the pair shares, so once; if not, only the best pair of each set, so no
+    more rows than the bucket has."""
 
     def run(batches):
         a, b, e = [], [], []
@@ -241,6 +244,9 @@ def _across(least: float, percent: int, whole: bool):
                     est[~ok | (est < least)] = -1
                     if whole:
                         i, j = np.nonzero(est >= 0)
+                        same = r.keys[qs][i] == r.keys[ts][j]
+                        own = r.keys[qs][i, same.argmax(1)] == r.key[0]
+                        i, j = i[own], j[own]
                         a.append(r.ids[qs][i])
                         b.append(r.ids[ts][j])
                         e.append(est[i, j])
@@ -339,7 +345,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     # buckets of two sets or more; single ones are most of the rows and end here
     buckets = cut(by_key(rows).mapInArrow(_shared, "key long, doc_id long"), "buckets")
     in_buckets = buckets.select("doc_id").distinct()
-    signed = cut(reps.join(in_buckets, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"), "signed")
+    signed = cut(reps.join(in_buckets, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "keys"), "signed")
     buckets = cut(buckets.join(signed, "doc_id").select("key", "doc_id", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("size"), F.col("n_shingles").alias("common"), "sig"), "signed")
     best = by_key(buckets).mapInArrow(_best(least, percent), PAIRS)
     best = best.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
@@ -370,6 +376,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
         links = links.unionByName(more)
         comp = components(links)
         mixed = mix_of(mixed, comp)
+    mixed = mixed.join(signed.select("doc_id", "keys"), "doc_id").select(*buckets.columns, "keys")
     rest = by_key(mixed).mapInArrow(_across(least, percent, True), PAIRS).select("a", "b").distinct()
     last = _confirm(cut(rest, "rest"), docs, k, percent)
     comp = components(cut(links.unionByName(last), "links"))
