@@ -219,12 +219,16 @@ t AS (SELECT p.*, z.fill FROM p LEFT JOIN z ON z.g = p.g AND z.i = p.i)""", "t",
 }
 
 
+def shift(digits: int) -> float:
+    return 1.7 * 10.0 ** -(digits + 1)
+
+
 def settle(c: Column, kind: str, digits: int | None) -> Column:
     """NaN as null, and rounded, for comparison; infinities stay."""
     if kind not in ("double", "float") or digits is None:
         return c.cast("bigint") if kind in ("int", "bigint") else c
-    # adding 0.0 turns a negative zero into a positive one
-    return F.when(~F.isnan(c), F.round(c, digits) + F.lit(0.0))
+    # a small shift keeps exact halves from rounding by the last bit; adding 0.0 turns a negative zero into a positive one
+    return F.when(~F.isnan(c), F.round(c + F.lit(shift(digits)), digits) + F.lit(0.0))
 
 
 def query(case: Case) -> Callable[[SparkSession, str], DataFrame]:
@@ -239,7 +243,7 @@ def query(case: Case) -> Callable[[SparkSession, str], DataFrame]:
 def oracle(case: Case) -> str:
     value = f"({case.sql})"
     if case.digits is not None:
-        value = f"CASE WHEN isnan({value}::DOUBLE) THEN NULL ELSE round({value}::DOUBLE, {case.digits}) + 0.0::DOUBLE END"
+        value = f"CASE WHEN isnan({value}::DOUBLE) THEN NULL ELSE round({value}::DOUBLE + {shift(case.digits)!r}::DOUBLE, {case.digits}) + 0.0::DOUBLE END"
     elif "::BIGINT" in case.sql or case.sql.startswith("i -"):
         value = f"{value}::BIGINT"
     return f"WITH RECURSIVE {PANEL_SQL}{',' + case.pre if case.pre else ''}\nSELECT d AS date, s AS symbol, {value} AS value FROM {case.of}"
