@@ -101,7 +101,7 @@ def loose(text: str) -> list[tuple[int, int, int]]:
 def votes(text: str, start: int, kind: int, end: int, is_strict: bool) -> int:
     """The labelers' votes packed in base 3: 0 against, 1 abstains, 2 for."""
     name, s, before = KINDS[kind], text[start:end], text[max(0, start - 24) : start]
-    v = [2 if is_strict else 0]
+    v = [2 if is_strict else 1]
     d = _digits(s)
     if name == "email":
         gazetteer = 2 if re.split(r"\W+", s.rstrip(")]"))[-1].lower() in TOP else 0
@@ -155,8 +155,10 @@ def _spans(batches):
 def estimate(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple[dict[tuple[int, int], float], np.ndarray]:
     """(posterior of each (kind, votes), reliabilities[kind, labeler, truth, vote]) by expectation-maximisation.
 
-    Labelers are taken as independent given the truth; counts are smoothed; the start is the share of votes for."""
-    rel = np.full((len(KINDS), len(LABELERS), 2, 3), 1 / 3)
+    Labelers are taken as independent given the truth; abstaining says nothing; counts are smoothed; the start is the
+    share of votes for."""
+    rel = np.full((len(KINDS), len(LABELERS), 2, 3), 1 / 2)
+    rel[..., 1] = 1
     post = {}
     for k in range(len(KINDS)):
         rows = [(c, n) for (kind, c), n in sorted(counts.items()) if kind == k]
@@ -169,8 +171,8 @@ def estimate(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple[dict
             prior = (n @ p + 1) / (n.sum() + 2)
             for j in range(len(LABELERS)):
                 for t, w in ((1, n * p), (0, n * (1 - p))):
-                    hits = np.array([w[v[:, j] == x].sum() for x in range(3)]) + 0.5
-                    rel[k, j, t] = hits / hits.sum()
+                    hits = np.array([w[v[:, j] == x].sum() for x in (0, 2)]) + 0.5
+                    rel[k, j, t, [0, 2]] = hits / hits.sum()
             log = [np.log(x) + sum(np.log(rel[k, j, t, v[:, j]]) for j in range(len(LABELERS))) for t, x in ((1, prior), (0, 1 - prior))]
             p = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
         post |= {(k, c): float(x) for (c, _), x in zip(rows, p, strict=True)}
@@ -204,7 +206,7 @@ def train(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float]
     return w
 
 
-def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def find(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (strict ones), base_sha256, spans, n_added for each row of docs (doc_id, text).
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Texts are searched whole. Rows that

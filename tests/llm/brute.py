@@ -37,3 +37,95 @@ def near(docs, k=4, percent=80):
                 a, b = find(o), find(d)
                 up[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def repeats(docs, size=20):
+    """{doc_id: (words, removed, sha256 of the kept)} of rows with distinct ids."""
+    import hashlib
+
+    words = {d: (t or "").encode().split() for d, t in docs}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - size + 1):
+            first.setdefault(tuple(words[d][i : i + size]), (d, i))
+    out = {}
+    for d, w in words.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if first[tuple(w[i : i + size])] < (d, i):
+                gone[i : i + size] = [True] * size
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out[d] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def tiling(item, text, least):
+    """Words of item covered by greedy string tiling, by the plain definition."""
+    pm, tm, covered = [False] * len(item), [False] * len(text), 0
+    while True:
+        best, found = least, []
+        for p in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and not pm[p + n] and not tm[t + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, [(p, t)]
+                elif n == best:
+                    found.append((p, t))
+        if not found:
+            return covered
+        for p, t in found:
+            if not any(pm[p : p + best]) and not any(tm[t : t + best]):
+                pm[p : p + best] = tm[t : t + best] = [True] * best
+                covered += best
+
+
+def mix(docs, weights=(5, 2, 1), percent=150, most=2):
+    """{source: target} by the plain rule, iterating."""
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len((t or "").encode().split())
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left, free = {}, sum(sizes.values()) * percent / 100, set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level >= most * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * level for s in free}
+        for s in over:
+            out[s] = float(most * sizes[s])
+            left -= out[s]
+        free -= over
+    return out
+
+
+def flow_cost(blocks, shards):
+    """Least bytes moved if every row is a unit at its block's mean size, by trying all ways of few rows (see the test)."""
+    from itertools import product
+
+    rows = [(b[0], -(-b[3] // b[2])) for b in blocks for _ in range(b[2])]
+    base, more = divmod(len(rows), shards)
+    best = None
+    for to in product(range(shards), repeat=len(rows)):
+        counts = [to.count(s) for s in range(shards)]
+        if sorted(counts) != [base] * (shards - more) + [base + 1] * more:
+            continue
+        cost = sum(c for (old, c), s in zip(rows, to, strict=True) if old != s)
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+def personal(text):
+    """[(start, kind, end)] by the contract's patterns over the whole text."""
+    import re
+
+    from tessera.llm.pii import luhn
+
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
