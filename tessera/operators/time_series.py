@@ -155,7 +155,7 @@ def last_diff_value(x: Expr, d: int) -> Expr:
 
     def fn(f: Frame, a: Column) -> Column:
         if d < 2:
-            return M.nan() + a * 0
+            return M.nan()
         before = F.collect_list(M.valid(a)).over(f.between(-(d - 1), -1))
         return M.or_nan(F.when(M.ok(a), F.try_element_at(F.filter(before, lambda v: v != a), F.lit(-1))))
 

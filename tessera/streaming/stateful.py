@@ -19,7 +19,8 @@ def bars(trades: DataFrame, every: str = "1 day", late: str = "2 days") -> DataF
 
 
 def carry_forward(events: DataFrame) -> DataFrame:
-    """trade_when over a stream of events (ts, symbol, trade, alpha, leave): symbol, ts, value. One value per symbol is kept."""
+    """trade_when over a stream of events (ts, symbol, trade, alpha, leave): symbol, ts, value, null while
+    nothing is carried. One value per symbol is kept."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value = state.get[0] if state.exists else float("nan")
