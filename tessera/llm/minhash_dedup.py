@@ -332,7 +332,6 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = cut(signatures(docs, k), "sets")
     full = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     heads = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
@@ -340,7 +339,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     reps = full.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select(F.explode("keys").alias("key"), "doc_id", *(F.lit(0).cast("long").alias(c) for c in ("x", "y", "z")))
     least = percent / 100 - MARGIN
-    by_key = lambda df: df.repartition(shuffles, "key").sortWithinPartitions("key", "doc_id")
+    # no fixed number of partitions: small stages are merged, so they write few files
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "doc_id")
 
     # buckets of two sets or more; single ones are most of the rows and end here
     buckets = cut(by_key(rows).mapInArrow(_shared, "key long, doc_id long"), "buckets")
