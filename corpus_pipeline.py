@@ -14,11 +14,21 @@ from tessera.llm.common import cut, table
 SHARDS = 24
 
 
+def _held(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but doc_id and text under names that no operator uses, and which column is under which name."""
+    names = {c: c if c in ("doc_id", "text") else f"held_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def _back(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()), *(m for m in more if m not in names))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects (score under 0.5). Labels come from sf_dir/labels."""
+    held, names = _held(docs)
     model = quality.fit(docs, quality.learn_from(table(spark, sf_dir, "labels")))
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, model, keep=kept).filter("score >= 0.5").select(*docs.columns)
+    return _back(quality.score(held, model, keep=tuple(names.values())).filter("score >= 0.5"), names)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +42,27 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold most of an item of sf_dir/benchmark."""
-    kept = (*(c for c in docs.columns if c not in ("doc_id",)),)
-    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=kept).filter(~F.col("contaminated")).select(*docs.columns)
+    held, names = _held(docs)
+    found = decontamination.find_leaks(held, table(spark, sf_dir, "benchmark"), keep=tuple(names.values()))
+    return _back(found.filter(~F.col("contaminated")), names)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents as often as the mix takes them: not at all, once or twice."""
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mixing.mix(docs.select("doc_id", *kept), keep=kept)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    held, names = _held(docs)
+    keep = tuple(n for n in names.values() if n != "doc_id")
+    mixed = mixing.mix(held.withColumn("source", F.col(names["source"])), keep=keep)
+    return _back(mixed.filter("times > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))), names)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places all rows in SHARDS shards of equal row counts, moving the fewest bytes from a layout by source."""
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(16))
-    return resharding.reshard(docs, source, SHARDS, keep=kept).select(*docs.columns, "shard", "slot", "moved")
+    """Places all rows in SHARDS shards of equal row counts, moving the fewest bytes from a layout by source.
+
+    A column of docs that is named shard, slot or moved stays, in place of the result of that name."""
+    held, names = _held(docs)
+    source = F.pmod(F.crc32(F.coalesce(F.col(names["source"]), F.lit("")).cast("binary")), F.lit(16))
+    keep = tuple(n for n in names.values() if n != "doc_id")
+    return _back(resharding.reshard(held, source, SHARDS, keep=keep), names, "shard", "slot", "moved")
 
 
 STAGES = [

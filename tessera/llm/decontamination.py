@@ -157,7 +157,8 @@ def covered(w: Words, h: np.ndarray, index: Index, tile: int, coverage: float):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, contaminated, item_id, coverage, tiles, leaks for each row of docs (doc_id, text), with the columns of keep.
+    """doc_id, contaminated, item_id, coverage, tiles, leaks for each row of docs (doc_id, text), with the columns of keep
+    (none named as a result).
 
     An item (item_id, text) leaks into a document if tiles cover at least `coverage` of its words; item_id, coverage and
     tiles are of the item covered most (the smallest id of equal ones), leaks counts such items. Items without words,
@@ -168,38 +169,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // (5 * BLOCK_WORDS)))
-    kept = [c for c in keep if c not in ("doc_id",)]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"), *kept)
-    names = [c for c in rows.columns if c != "_text"]
-    base = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_text")
-    found: DataFrame | None = None
+    kept = [c for c in keep if c not in ("doc_id", "text")]
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text"), *kept)
+    base = ", ".join(f"`{n}` {t}" for n, t in found.dtypes)
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
         index = spark.sparkContext.broadcast(build([r.item_id for r in block], [r.text for r in block], tile))
-        part = (rows if found is None else found).mapInArrow(_judge(index, tile, coverage, found is not None), f"{base}, _text string, item_id long, coverage double, tiles int, leaks int")
-        found = part
-    return found.select(*names, (F.col("leaks") > 0).alias("contaminated"), "item_id", "coverage", "tiles", "leaks")
+        found = found.mapInArrow(_judge(index, tile, coverage, b > 0), f"{base}, item_id long, coverage double, tiles int, leaks int")
+    return found.select("doc_id", *(["text"] if "text" in keep else []), *kept, (F.col("leaks") > 0).alias("contaminated"), "item_id", "coverage", "tiles", "leaks")
 
 
 def _judge(index, tile: int, coverage: float, again: bool):
-    """Adds the verdict of one block to that of the blocks before."""
+    """Adds the verdict of one block to that of the blocks before, which then are the last four columns."""
+    verdict = ["item_id", "coverage", "tiles", "leaks"]
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
+            own = batch.num_columns - 4 * again
             if again:
-                best = list(zip(*(batch.column(c).to_pylist() for c in ("coverage", "item_id", "tiles", "leaks")), strict=True))
+                old = [batch.column(own + i).to_pylist() for i in range(4)]
+                best = list(zip(old[1], old[0], old[2], old[3], strict=True))
             else:
-                best = [(0.0, None, 0, 0)] * n
-            text = batch.column("_text")
-            for i, _, w, h in normal_words(text):
+                best = [(0.0, None, 0, 0)] * batch.num_rows
+            for i, _, w, h in normal_words(batch.column(1)):
                 for d, item, share, count in covered(w, h, index.value, tile, coverage):
-                    old = best[i + d]
-                    win = share > old[0] or share == old[0] and (old[1] is None or item < old[1])
-                    best[i + d] = (*((share, item, count) if win else old[:3]), old[3] + 1)
+                    now = best[i + d]
+                    win = share > now[0] or share == now[0] and (now[1] is None or item < now[1])
+                    best[i + d] = (*((share, item, count) if win else now[:3]), now[3] + 1)
             share, item, count, leaks = zip(*best, strict=True) if best else ([],) * 4
-            cols = [c for c in batch.schema.names if c not in ("item_id", "coverage", "tiles", "leaks")] if again else batch.schema.names
-            cols = [c for c in cols if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), text, pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(count, pa.int32()), pa.array(leaks, pa.int32())], names=[*cols, "_text", "item_id", "coverage", "tiles", "leaks"])
+            new = [pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(count, pa.int32()), pa.array(leaks, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *new], names=[*batch.schema.names[:own], *verdict])
 
     return run

@@ -151,14 +151,16 @@ def vote(counts: np.ndarray, m: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (0 to 1) for each row of docs (doc_id, text), with the columns of keep.
+    """doc_id, score (0 to 1) for each row of docs (doc_id, text), with the columns of keep (none named score).
 
     Null, empty and wordless texts score the share of label 1 among the labelled. Equal texts score alike; ties among
     neighbours change nothing but which of equally similar rows vote. An empty table gives no rows."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").cast("string").alias("_text"), "doc_id", *(c for c in keep if c != "doc_id"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:]) + ", score double"
+    more = [c for c in keep if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *more)
+    first = 0 if "text" in keep else 1
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[first:]) + ", score double"
 
     def run(batches):
         m = shared.value
@@ -166,7 +168,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
             s = np.zeros(batch.num_rows)
             for i, j, c in term_counts(batch.column(0)):
                 s[i:j] = vote(c, m)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s)], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(s)], names=[*batch.schema.names[first:], "score"])
 
     return rows.mapInArrow(run, schema)
 

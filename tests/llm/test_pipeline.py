@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
         labels.append((i, int(kind != 0), 0))
     docs.append((500, None, None, None, None))
     root = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").selectExpr("*", "1 AS score", "'x' AS size", "2 AS coverage", "3 AS kind").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     return root, docs, items
@@ -62,8 +62,8 @@ def test_stages_against_plain_versions(spark, tables):
         assert abs(taken - t) <= 120
     assert {r[0] for r in fourth} <= {r[0] for r in third}
     # sharding: all rows, evenly
-    assert sorted(map(str, (r[:5] for r in last))) == sorted(map(str, fourth))
-    counts = [sum(r[5] == s for r in last) for s in range(24)]
+    assert sorted(map(str, (r[:9] for r in last))) == sorted(map(str, fourth))
+    counts = [sum(r[9] == s for r in last) for s in range(24)]
     assert max(counts) - min(counts) <= 1
 
 
