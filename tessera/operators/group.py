@@ -6,68 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import mathx as M
-from tessera.operators.cross_section import ordinal
+from tessera.operators.cross_section import moments, of_day, place
 from tessera.operators.registry import operator
-from tessera.operators.time_series import _double
-from tessera.plans.compiler import Frame
-from tessera.plans.expr import FRAME, GROUP, Expr, window
+from tessera.operators.time_series import _double, valid
+from tessera.plans.expr import FRAME, Expr, cell, window
 
 
-def _grouped(name: str, fn, *args, group: Expr, params: tuple = ()) -> Expr:
-    return window(name, GROUP, lambda f, *a: F.when(f.group.isNull(), M.nan()).otherwise(M.or_nan(fn(f, *a))), *args, group, params=params)
+def _grouped(name: str, fn, *args: Expr, group: Expr, params: tuple = ()) -> Expr:
+    """fn of columns, NaN where it is null or the label is."""
+    return cell(name, lambda g, *a: F.when(g.isNull(), M.nan()).otherwise(M.or_nan(fn(*a))), group, *args, params=params)
 
 
 @operator
 def group_neutralize(x: Expr, group: Expr) -> Expr:
     """x less its group's mean."""
-    return _grouped("group_neutralize", lambda f, a: M.valid(a) - F.avg(M.valid(a)).over(f.day), _double(x), group=group)
+    v = valid(x)
+    return _grouped("group_neutralize", lambda a, m: a - m, v, of_day("avg", v, group), group=group)
 
 
 @operator
 def group_zscore(x: Expr, group: Expr) -> Expr:
     """(x - mean) / population deviation within the group; NaN where that is 0."""
-
-    def fn(f: Frame, a: Column) -> Column:
-        v = M.valid(a)
-        varies = F.min(v).over(f.day) < F.max(v).over(f.day)
-        return F.when(varies, F.try_divide(v - F.avg(v).over(f.day), F.stddev_pop(v).over(f.day)))
-
-    return _grouped("group_zscore", fn, _double(x), group=group)
+    v = valid(x)
+    return _grouped("group_zscore", lambda a, m, s: F.when(s > 0, F.try_divide(a - m, s)), v, *moments(v, group), group=group)
 
 
 @operator
 def group_scale(x: Expr, group: Expr) -> Expr:
     """x to 0 to 1 by the group's extremes; NaN where they are equal."""
-
-    def fn(f: Frame, a: Column) -> Column:
-        v = M.valid(a)
-        lo, hi = F.min(v).over(f.day), F.max(v).over(f.day)
-        return F.try_divide(v - lo, hi - lo)
-
-    return _grouped("group_scale", fn, _double(x), group=group)
+    v = valid(x)
+    return _grouped("group_scale", lambda a, lo, hi: F.try_divide(a - lo, hi - lo), v, of_day("min", v, group), of_day("max", v, group), group=group)
 
 
 @operator
 def group_rank(x: Expr, group: Expr) -> Expr:
     """Place / (n - 1) within the group; 0.5 if alone."""
-
-    def fn(f: Frame, a: Column) -> Column:
-        place, n = ordinal(f, a)
-        return F.when(~M.ok(a), M.nan()).when(n == 1, 0.5).otherwise(F.try_divide(place.cast("double"), (n - 1).cast("double")))
-
-    return _grouped("group_rank", fn, _double(x), group=group)
+    x = _double(x)
+    fn = lambda a, k, n: F.when(~M.ok(a), M.nan()).when(n == 1, 0.5).otherwise(F.try_divide(k.cast("double"), (n - 1).cast("double")))
+    return _grouped("group_rank", fn, x, place(x, group), of_day("count", valid(x), group), group=group)
 
 
 @operator
-def group_mean(x: Expr, weight: Expr, group: Expr) -> Expr:
+def group_mean(x: Expr, weight: Expr | int | float, group: Expr) -> Expr:
     """The group's weighted mean over members with both, for every member; NaN unless the weights sum to more than 0."""
-
-    def fn(f: Frame, a: Column, w: Column) -> Column:
-        both = M.ok(a) & M.ok(w)
-        total = F.sum(F.when(both, w)).over(f.day)
-        return F.when(total > 0, F.try_divide(F.sum(F.when(both, a * w)).over(f.day), total))
-
-    return _grouped("group_mean", fn, _double(x), _double(weight) if isinstance(weight, Expr) else weight, group=group)
+    both = lambda f: lambda a, w: F.when(M.ok(a) & M.ok(w), f(a, w))
+    x, w = _double(x), _double(weight)
+    top, total = cell("weighted", both(lambda a, w: a * w), x, w), cell("weight", both(lambda a, w: w), x, w)
+    return _grouped("group_mean", lambda t, n: F.when(n > 0, F.try_divide(t, n)), of_day("sum", top, group), of_day("sum", total, group), group=group)
 
 
 @operator
@@ -79,15 +64,23 @@ def group_backfill(x: Expr, group: Expr, d: int, std: float = 4.0) -> Expr:
 
     def fn(df: DataFrame, name: str, a: Column, g: Column) -> DataFrame:
         rows = df.withColumns({"_gb_x": a, "_gb_g": g})
-        days = rows.filter(F.col("_gb_g").isNotNull()).groupBy(F.col("_gb_g").alias("_gb_k"), F.col("date_idx").alias("_gb_i")).agg(F.collect_list(M.valid(F.col("_gb_x"))).alias("_gb_day"))
-        seen = F.flatten(F.collect_list("_gb_day").over(Window.partitionBy("_gb_k").orderBy("_gb_i").rangeBetween(-(d - 1), 0)))
-        total = lambda v, f=lambda y: y: F.aggregate(v, F.lit(0.0), lambda s, y: s + f(y))
-        n = F.size("_gb_seen")
-        days = days.withColumn("_gb_seen", seen).withColumn("_gb_mean", F.try_divide(total(F.col("_gb_seen")), n.cast("double")))
-        days = days.withColumn("_gb_var", F.try_divide(total(F.col("_gb_seen"), lambda y: (y - F.col("_gb_mean")) * (y - F.col("_gb_mean"))), n.cast("double")))
-        reach = F.sqrt("_gb_var") * float(std)
-        cut = total(F.col("_gb_seen"), lambda y: F.greatest(F.least(y, F.col("_gb_mean") + reach), F.col("_gb_mean") - reach))
-        fill = F.when((n == 1) | (F.col("_gb_var") <= 0), F.col("_gb_mean")).otherwise(F.try_divide(cut, n.cast("double")))
+        v = M.valid(F.col("_gb_x"))
+        days = rows.filter(F.col("_gb_g").isNotNull()).groupBy(F.col("_gb_g").alias("_gb_k"), F.col("date_idx").alias("_gb_i"))
+        days = days.agg(F.collect_list(v).alias("all"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        last = Window.partitionBy("_gb_k").orderBy("_gb_i").rangeBetween(-(d - 1), 0)
+        sum_of = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, y: s + f(y))
+        days = days.select(
+            "_gb_k", "_gb_i", F.flatten(F.collect_list("all").over(last)).alias("seen"), F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean"))).over(last).alias("parts"), F.sum("n").over(last).cast("double").alias("n"),
+            F.try_divide(F.sum(F.col("mean") * F.col("n")).over(last), F.sum("n").over(last).cast("double")).alias("mean"), F.sum(F.col("var") * F.col("n")).over(last).alias("within"), F.min("lo").over(last).alias("lo"), F.max("hi").over(last).alias("hi"),
+        )
+        mean = F.col("mean")
+        # the spread within days and that of the days' means: few terms, and no difference of large squares
+        between = sum_of(F.col("parts"), lambda p: p["n"] * (p["mean"] - mean) * (p["mean"] - mean))
+        days = days.withColumn("var", F.try_divide(F.col("within") + between, F.col("n")))
+        days = days.withColumns({"least": mean - F.sqrt("var") * float(std), "most": mean + F.sqrt("var") * float(std)})
+        cut = sum_of(F.col("seen"), lambda y: F.greatest(F.least(y, F.col("most")), F.col("least")))
+        whole = (F.col("n") == 1) | (F.col("var") <= 0) | (F.col("lo") >= F.col("least")) & (F.col("hi") <= F.col("most"))
+        fill = F.when(whole, mean).otherwise(F.try_divide(cut, F.col("n")))
         days = days.select("_gb_k", "_gb_i", fill.alias("_gb_fill"))
         out = rows.join(days, (F.col("_gb_g") == F.col("_gb_k")) & (F.col("date_idx") == F.col("_gb_i")), "left")
         return out.withColumn(name, F.when(M.ok(F.col("_gb_x")), F.col("_gb_x")).otherwise(F.col("_gb_fill"))).drop("_gb_x", "_gb_g", "_gb_k", "_gb_i", "_gb_fill")

@@ -22,31 +22,52 @@ def _series(name: str, fn, *args, params: tuple = ()) -> Expr:
     return window(name, SYMBOL, fn, *args, params=params)
 
 
+_ROLLED = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev_pop": F.stddev_pop, "stddev_samp": F.stddev_samp, "var_pop": F.var_pop}
+
+
+def rolled(how: str, x: Expr, d: int) -> Expr:
+    """An aggregate of a window, as a node of its own: formulas that use it more than once, or together, share its column."""
+    return _series(f"rolled_{how}", lambda f, a: _ROLLED[how](a).over(f.rows(d)), x, params=(d,))
+
+
+def rolled_covariance(x: Expr, y: Expr, d: int) -> Expr:
+    return _series("rolled_covar", lambda f, a, b: F.covar_pop(a, b).over(f.rows(d)), x, y, params=(d,))
+
+
+def held(x: Expr) -> Expr:
+    """x as a column: for what a formula names many times."""
+    return window("held", FRAME, lambda df, name, a: df.withColumn(name, a), x)
+
+
+def valid(x: Expr) -> Expr:
+    return cell("valid", lambda a: M.valid(a.cast("double")), x)
+
+
 @operator
 def ts_mean(x: Expr, d: int) -> Expr:
     """Mean of the values that are not null; a NaN makes its windows NaN."""
-    return _series("ts_mean", lambda f, a: F.avg(a).over(f.rows(d)), x, params=(d,))
+    return rolled("avg", x, d)
 
 
 @operator
 def ts_sum(x: Expr, d: int) -> Expr:
-    return _series("ts_sum", lambda f, a: F.sum(a).over(f.rows(d)), x, params=(d,))
+    return rolled("sum", x, d)
 
 
 @operator
 def ts_std(x: Expr, d: int) -> Expr:
     """Population deviation; null under two values."""
-    return _series("ts_std", lambda f, a: F.when(F.count(a).over(f.rows(d)) >= 2, F.stddev_pop(a).over(f.rows(d))), x, params=(d,))
+    return cell("ts_std", lambda n, std: F.when(n >= 2, std), rolled("count", x, d), rolled("stddev_pop", x, d))
 
 
 @operator
 def ts_min(x: Expr, d: int) -> Expr:
-    return _series("ts_min", lambda f, a: F.min(a).over(f.rows(d)), x, params=(d,))
+    return rolled("min", x, d)
 
 
 @operator
 def ts_max(x: Expr, d: int) -> Expr:
-    return _series("ts_max", lambda f, a: F.max(a).over(f.rows(d)), x, params=(d,))
+    return rolled("max", x, d)
 
 
 @operator
@@ -70,13 +91,12 @@ def kth_element(x: Expr, d: int, k: int) -> Expr:
 def ts_product(x: Expr, d: int) -> Expr:
     """NaN if any value is missing, 0 if any is 0, else by the sum of logarithms."""
 
-    def fn(f: Frame, a: Column) -> Column:
-        w, good = f.rows(d), M.ok(a)
-        size = F.exp(F.sum(F.when(good & (a != 0), F.ln(F.abs(a)))).over(w))
-        sign = F.when(F.sum((good & (a < 0)).cast("long")).over(w) % 2 == 1, -1.0).otherwise(1.0)
-        return F.when(F.sum((~good).cast("long")).over(w) > 0, M.nan()).when(F.sum((good & (a == 0)).cast("long")).over(w) > 0, 0.0).otherwise(sign * size)
-
-    return _series("ts_product", fn, _double(x), params=(d,))
+    x = _double(x)
+    bad = rolled("sum", cell("is_missing", lambda a: (~M.ok(a)).cast("long"), x), d)
+    zeros = rolled("sum", cell("is_zero", lambda a: (a == 0).cast("long"), x), d)
+    negative = rolled("sum", cell("is_negative", lambda a: (a < 0).cast("long"), x), d)
+    logs = rolled("sum", cell("log_size", lambda a: F.when(M.ok(a) & (a != 0), F.ln(F.abs(a))), x), d)
+    return cell("ts_product", lambda b, z, n, s: F.when(b > 0, M.nan()).when(z > 0, 0.0).otherwise(F.exp(s) * F.when(n % 2 == 1, -1.0).otherwise(1.0)), bad, zeros, negative, logs)
 
 
 @operator
@@ -89,33 +109,27 @@ def ts_count_nans(x: Expr, d: int) -> Expr:
 def ts_zscore(x: Expr, d: int) -> Expr:
     """(x - mean) / sample deviation; NaN where the deviation is 0."""
 
-    def fn(f: Frame, a: Column) -> Column:
-        w = f.rows(d)
-        # a variance of equal values can come out as a rounding error; the extremes tell
-        std = F.when(F.min(a).over(w) == F.max(a).over(w), 0.0).otherwise(F.stddev_samp(a).over(w))
-        mean = F.when(F.min(a).over(w) == F.max(a).over(w), a).otherwise(F.avg(a).over(w))
-        return M.div(a - mean, F.when(F.count(a).over(w) >= 2, std))
+    x = _double(x)
 
-    return _series("ts_zscore", fn, _double(x), params=(d,))
+    def fn(a: Column, n: Column, mean: Column, std: Column) -> Column:
+        # of equal values the deviation is exactly 0: frames are read value by value
+        return F.when((n >= 2) & a.isNotNull(), F.when(std == 0, M.nan()).otherwise(M.div(a - mean, std)))
+
+    return cell("ts_zscore", fn, x, *(rolled(k, x, d) for k in ("count", "avg", "stddev_samp")))
 
 
 @operator
 def ts_scale(x: Expr, d: int, constant: float = 0) -> Expr:
     """(x - min) / (max - min) + constant; null under two values, NaN if all are equal."""
 
-    def fn(f: Frame, a: Column) -> Column:
-        w = f.rows(d)
-        enough = F.count(a).over(w) >= 2
-        lo, hi = F.when(enough, F.min(a).over(w)), F.when(enough, F.max(a).over(w))
-        return M.div(a - lo, hi - lo) + F.lit(float(constant))
-
-    return _series("ts_scale", fn, _double(x), params=(d, constant))
+    x = _double(x)
+    return cell("ts_scale", lambda a, n, lo, hi: F.when(n >= 2, M.div(a - lo, hi - lo)) + F.lit(float(constant)), x, *(rolled(k, x, d) for k in ("count", "min", "max")), params=(constant,))
 
 
 @operator
 def ts_av_diff(x: Expr, d: int) -> Expr:
     """x less its mean; null unless all d values are there."""
-    return _series("ts_av_diff", lambda f, a: F.when(F.count(a).over(f.rows(d)) == d, a - F.avg(a).over(f.rows(d))), x, params=(d,))
+    return cell("ts_av_diff", lambda a, n, mean: F.when(n == d, a - mean), x, rolled("count", x, d), rolled("avg", x, d), params=(d,))
 
 
 @operator
@@ -174,34 +188,32 @@ def ts_decay_linear(x: Expr, d: int, dense: bool = False) -> Expr:
     """Mean with weights 1 to d, the newest heaviest. A missing value makes it NaN; if dense, nulls are skipped and the
     weights of the others count, over full windows."""
 
-    def fn(f: Frame, a: Column) -> Column:
-        w, i = f.rows(d), f.index
-        age = i - d  # a row's weight is its index less this
-        if dense:
-            total = F.sum(a * i).over(w) - age * F.sum(a).over(w)
-            weights = F.sum(F.when(a.isNotNull(), i)).over(w) - age * F.count(a).over(w)
-            return F.when((i + 1 >= d) & (F.count(a).over(w) > 0), F.try_divide(total, weights.cast("double")))
-        v = M.valid(a)
-        return F.when(F.count(v).over(w) == d, (F.sum(v * i).over(w) - age * F.sum(v).over(w)) / (d * (d + 1) / 2)).otherwise(M.nan())
-
-    return _series("ts_decay_linear", fn, _double(x), params=(d, bool(dense)))
+    x = _double(x) if dense else valid(x)
+    placed = cell("placed", lambda a, i: a * i, x, "date_idx")
+    total = cell("decay_total", lambda i, s, t: s - (i - d) * t, "date_idx", rolled("sum", placed, d), rolled("sum", x, d), params=(d,))
+    if dense:
+        places = rolled("sum", cell("place", lambda a, i: F.when(a.isNotNull(), i), x, "date_idx"), d)
+        # a row's weight is its index less that of the row before the window
+        return cell("ts_decay_dense", lambda i, n, t, p: F.when((i + 1 >= d) & (n > 0), F.try_divide(t, (p - (i - d) * n).cast("double"))), "date_idx", rolled("count", x, d), total, places, params=(d,))
+    return cell("ts_decay_linear", lambda n, t: F.when(n == d, t / (d * (d + 1) / 2)).otherwise(M.nan()), rolled("count", x, d), total, params=(d,))
 
 
-def _less(f: Frame, a: Column, d: int) -> tuple[Column, Column]:
-    """(values of the window below a, values there)."""
-    seen = F.collect_list(M.valid(a)).over(f.rows(d))
-    return F.size(F.filter(seen, lambda v: v < a)), F.size(seen)
+def _less(x: Expr, d: int) -> tuple[Expr, Expr, Expr]:
+    """(x, values of the window below it, values there), each a column: what is made of them names them often."""
+    x = _double(x)
+    seen = _series("rolled_values", lambda f, a: F.collect_list(M.valid(a)).over(f.rows(d)), x, params=(d,))
+    less = held(cell("rolled_less", lambda a, v: F.size(F.filter(v, lambda e: e < a)), x, seen))
+    return x, less, rolled("count", valid(x), d)
 
 
 @operator
 def ts_rank(x: Expr, d: int, constant: float = 0) -> Expr:
     """constant + share of the other values that are smaller; 0.5 if alone, NaN where x is missing."""
 
-    def fn(f: Frame, a: Column) -> Column:
-        less, n = _less(f, a, d)
-        return F.when(~M.ok(a), M.nan()).when(n == 1, F.lit(0.5 + constant)).otherwise(F.lit(float(constant)) + less / F.nullif(n - 1, F.lit(0)))
+    def fn(a: Column, less: Column, n: Column) -> Column:
+        return F.when(~M.ok(a), M.nan()).when(n == 1, F.lit(0.5 + constant)).otherwise(F.lit(float(constant)) + F.try_divide(less.cast("double"), (n - 1).cast("double")))
 
-    return _series("ts_rank", fn, _double(x), params=(d, constant))
+    return cell("ts_rank", fn, *_less(x, d), params=(constant,))
 
 
 @operator
@@ -209,42 +221,36 @@ def ts_quantile(x: Expr, d: int, driver: str = "gaussian") -> Expr:
     """The share of smaller values, moved to the open interval, through the inverse normal (or, of any other driver, to -1
     to 1); 0 if alone, NaN where x is missing."""
 
-    def fn(f: Frame, a: Column) -> Column:
-        less, n = _less(f, a, d)
-        p = (less + 0.5) / F.nullif(n, F.lit(0))
-        return F.when(~M.ok(a), M.nan()).when(n == 1, 0.0).otherwise(M.inverse_normal(p) if driver == "gaussian" else 2 * p - 1)
-
-    return _series("ts_quantile", fn, _double(x), params=(d, driver))
+    x, less, n = _less(x, d)
+    p = held(cell("share_below", lambda k, n: F.try_divide(k + 0.5, n.cast("double")), less, n))
 
+    def fn(a: Column, n: Column, p: Column) -> Column:
+        return F.when(~M.ok(a), M.nan()).when(n == 1, 0.0).otherwise(M.inverse_normal(p) if driver == "gaussian" else 2 * p - 1)
 
-def _pair(name: str, x: Expr, y: Expr, d: int, fn, params: tuple = ()) -> Expr:
-    """fn(frame, x, y, full) over values that are both there; full: all d pairs are."""
+    return cell("ts_quantile", fn, x, n, p, params=(driver,))
 
-    def run(f: Frame, a: Column, b: Column) -> Column:
-        both = M.ok(a) & M.ok(b)
-        a, b = F.when(both, a), F.when(both, b)
-        return fn(f, a, b, F.count(a).over(f.rows(d)) == d)
 
-    return _series(name, run, _double(x), _double(y), params=(d, *params))
+def _pairs(x: Expr, y: Expr) -> tuple[Expr, Expr]:
+    """Both operands, null where either is missing."""
+    x, y = _double(x), _double(y)
+    both = lambda a, b: F.when(M.ok(a) & M.ok(b), a)
+    return cell("both", both, x, y), cell("both", both, y, x)
 
 
 @operator
 def ts_covariance(x: Expr, y: Expr, d: int) -> Expr:
     """Population covariance; NaN unless all d pairs are there."""
-    return _pair("ts_covariance", x, y, d, lambda f, a, b, full: F.when(full, F.covar_pop(a, b).over(f.rows(d))).otherwise(M.nan()))
+    a, b = _pairs(x, y)
+    return cell("ts_covariance", lambda n, c: F.when(n == d, c).otherwise(M.nan()), rolled("count", a, d), rolled_covariance(a, b, d), params=(d,))
 
 
 @operator
 def ts_corr(x: Expr, y: Expr, d: int) -> Expr:
     """Correlation; NaN unless all d pairs are there and both vary."""
+    a, b = _pairs(x, y)
 
-    def fn(f: Frame, a: Column, b: Column, full: Column) -> Column:
-        w = f.rows(d)
-        varies = (F.min(a).over(w) < F.max(a).over(w)) & (F.min(b).over(w) < F.max(b).over(w))
-        r = F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w))
-        return M.or_nan(F.when(full & varies, r))
-
-    return _pair("ts_corr", x, y, d, fn)
+    fn = lambda n, c, sa, sb: M.or_nan(F.when(n == d, F.try_divide(c, sa * sb)))
+    return cell("ts_corr", fn, rolled("count", a, d), rolled_covariance(a, b, d), rolled("stddev_pop", a, d), rolled("stddev_pop", b, d), params=(d,))
 
 
 #: What ts_regression returns, by name.
@@ -256,15 +262,11 @@ def ts_regression(y: Expr, x: Expr, d: int, lag: int = 0, rettype: int | str = 0
     """Least squares of y on x lagged by lag rows; NaN unless all d pairs are there and x varies. rettype: 0 residual, 1 beta,
     2 alpha, 3 predicted, 4 correlation, 5 its square, 6 and 7 t of beta and alpha, 8 and 9 their standard errors."""
     kind = REGRESSION.get(rettype.lower(), 0) if isinstance(rettype, str) else int(rettype)
-    x = ts_delay(x, lag) if lag else x
-
-    def fn(f: Frame, b: Column, a: Column, full: Column) -> Column:
-        # a: x, b: y
-        w = f.rows(d)
-        mx, my = F.avg(a).over(w), F.avg(b).over(w)
-        sxx = F.when(F.min(a).over(w) < F.max(a).over(w), F.var_pop(a).over(w) * d)
-        syy = F.when(F.min(b).over(w) < F.max(b).over(w), F.var_pop(b).over(w) * d)
-        sxy = F.covar_pop(a, b).over(w) * d
+    a, b = _pairs(ts_delay(x, lag) if lag else x, y)
+
+    def fn(a, b, n, mx, my, vx, vy, c):
+        # a: x, b: y; a variance of equal values is exactly 0
+        sxx, syy, sxy = F.when(vx > 0, vx * d), F.when(vy > 0, vy * d), c * d
         beta = F.try_divide(sxy, sxx)
         alpha = my - beta * mx
         corr = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
@@ -273,9 +275,10 @@ def ts_regression(y: Expr, x: Expr, d: int, lag: int = 0, rettype: int | str = 0
         se_beta = F.sqrt(F.try_divide(var, sxx))
         se_alpha = F.sqrt(var * (F.lit(1.0 / d) + F.try_divide(mx * mx, sxx)))
         out = [b - (alpha + beta * a), beta, alpha, alpha + beta * a, corr, corr * corr, F.try_divide(beta, se_beta), F.try_divide(alpha, se_alpha), se_beta, se_alpha]
-        return M.or_nan(F.when(full, out[kind])) if 0 <= kind <= 9 else M.nan() + F.coalesce(a, F.lit(0.0)) * 0
+        return M.or_nan(F.when(n == d, out[kind])) if 0 <= kind <= 9 else M.nan()
 
-    return _pair("ts_regression", y, x, d, fn, params=(kind,))
+    sums = (rolled("count", a, d), rolled("avg", a, d), rolled("avg", b, d), rolled("var_pop", a, d), rolled("var_pop", b, d), rolled_covariance(a, b, d))
+    return cell("ts_regression", fn, a, b, *sums, params=(d, kind))
 
 
 @operator

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import re
+import textwrap
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,10 +24,13 @@ class Profile:
 
 
 def profile(formula: str | Expr, df: DataFrame | None = None) -> Profile:
-    """Operators used, distinct windowed columns, levels, and, given the computed DataFrame, nodes of its physical plan."""
+    """Operators used (of a text: as called in it; of an expression: its nodes), distinct windowed columns, levels, and, given the computed DataFrame, nodes of its physical plan."""
     root = node(parse(formula) if isinstance(formula, str) else formula)
     seen = list(root.walk())
     used = Counter(n.name for n in seen if n.kind in ("cell", "window"))
+    if isinstance(formula, str):
+        calls = [n.func for n in ast.walk(ast.parse(textwrap.dedent(formula).strip())) if isinstance(n, ast.Call)]
+        used = Counter(f.attr if isinstance(f, ast.Attribute) else f.id for f in calls)
     text = df._jdf.queryExecution().executedPlan().toString() if df is not None else ""
     nodes = Counter(re.findall(r"^[\s:+\-*()\d]*([A-Z]\w+)", text, re.M))
     return Profile(used, sum(n.kind == "window" for n in seen), root.level, nodes["Exchange"], nodes)
