@@ -253,8 +253,19 @@ def ts_corr(x: Expr, y: Expr, d: int) -> Expr:
     return cell("ts_corr", fn, rolled("count", a, d), rolled_covariance(a, b, d), rolled("stddev_pop", a, d), rolled("stddev_pop", b, d), params=(d,))
 
 
-#: What ts_regression returns, by name.
-REGRESSION = {"residual": 0, "resid": 0, "beta": 1, "slope": 1, "alpha": 2, "intercept": 2, "predicted": 3, "corr": 4, "correlation": 4, "r_squared": 5, "tstat_beta": 6, "tstat_alpha": 7, "stderr_beta": 8, "stderr_alpha": 9}
+#: Names for what ts_regression returns.
+REGRESSION = {
+    "resid": 0, "residual": 0,
+    "beta": 1, "slope": 1,
+    "alpha": 2, "intercept": 2,
+    "predicted": 3, "pred": 3,
+    "corr": 4, "correlation": 4,
+    "r_squared": 5, "rsquared": 5, "r2": 5,
+    "tstat_beta": 6,
+    "tstat_alpha": 7,
+    "stderr_beta": 8,
+    "stderr_alpha": 9,
+}
 
 
 @operator

@@ -15,7 +15,7 @@ from tessera.plans.catalog import PANEL_SQL, D, S, settle, shift, weekly_panel,
 from tessera.plans.fields import build
 from tessera.plans.panel import Panel
 from tessera.plans.run import compute_all
-from tessera.sources import fundamentals, ticks, universe
+from tessera.sources import fundamentals, tagging, ticks, universe
 from tessera.sources.calendar import TradingCalendar
 from tessera.sources.security_master import SecurityMaster, normal_ticker, padded_cik, sec_ticker, sessions
 
@@ -235,13 +235,14 @@ def ticker_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(normal_ticker(F.translate("s_name", "#", "")).alias("normal"), sec_ticker(F.col("s_name")).alias("sec"), padded_cik(F.col("s_suppkey")).alias("cik")).distinct()
 
 
-@_case("""WITH t AS (SELECT o_custkey AS permno, o_orderkey::VARCHAR AS symbol, o_orderdate::DATE AS start_date, o_orderdate::DATE + 10 AS end_date FROM orders),
-n AS (SELECT *, coalesce(start_date - lag(end_date) OVER (PARTITION BY permno ORDER BY start_date, symbol) >= 30, true) AS new FROM t)
+@_case("""WITH t AS (SELECT o_custkey AS permno, o_orderkey::VARCHAR AS symbol, o_orderdate::DATE AS start_date, CASE o_orderkey % 4 WHEN 0 THEN ['a'] WHEN 1 THEN ['a', NULL, 'b'] WHEN 2 THEN ['c'] END AS ciks FROM orders),
+n AS (SELECT *, lag(permno) OVER w IS NULL OR coalesce(symbol <> lag(symbol) OVER w AND len(lag(ciks) OVER w) > 0 AND len(ciks) > 0 AND NOT list_has_any(lag(ciks) OVER w, ciks), false) AS new FROM t WINDOW w AS (PARTITION BY permno ORDER BY start_date, symbol))
 SELECT permno, symbol, (sum(new::INT) OVER (ORDER BY permno, start_date, symbol ROWS UNBOUNDED PRECEDING) + 1000)::BIGINT AS security_id FROM n""")
 def master_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by runs of use."""
-    o = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("permno"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_orderdate").cast("date").alias("start_date"))
-    return sessions(o.withColumn("end_date", F.date_add("start_date", 10))).select("permno", "symbol", "security_id")
+    ciks = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("a"))).when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("a"), F.lit(None), F.lit("b"))).when(F.col("o_orderkey") % 4 == 2, F.array(F.lit("c")))
+    o = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("permno"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_orderdate").cast("date").alias("start_date"), ciks.alias("ciks"))
+    return sessions(o).select("permno", "symbol", "security_id")
 
 
 @_case(f"WITH RECURSIVE {PANEL_SQL} SELECT d AS date, s AS symbol, close - lag(close, 5) OVER {S} AS delta, avg(close) OVER {w(5)} AS mean, close - avg(close) OVER {D} AS apart FROM p")
@@ -265,3 +266,41 @@ def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix: dates by symbols."""
     p = weekly_panel(spark, sf_dir).df
     return Panel(p.filter(F.col("symbol").isin("00000001", "00000002", "00000003"))).to_wide("volume")
+
+
+_TAGGED = "t AS (SELECT o_custkey::VARCHAR AS symbol, o_orderkey AS accn, o_orderdate::DATE AS filed, CASE o_orderkey % 4 WHEN 0 THEN 'SalesRevenueNet' WHEN 1 THEN 'AssetsTotal' WHEN 2 THEN 'StatementTable' ELSE 'NetIncomeLoss' END AS tag, o_orderpriority AS label, round(o_totalprice) AS val, year(o_orderdate)::INT AS fy FROM orders)"
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    tags = F.array(*map(F.lit, ("SalesRevenueNet", "AssetsTotal", "StatementTable", "NetIncomeLoss")))
+    return o.select(F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderkey").alias("accn"), F.col("o_orderdate").cast("date").alias("filed"), F.element_at(tags, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("tag"), F.col("o_orderpriority").alias("label"), F.round("o_totalprice").alias("val"), F.year("o_orderdate").alias("fy"))
+
+
+@_case(f"WITH {_TAGGED}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, tag ORDER BY filed DESC, fy DESC, val DESC) AS n FROM t) SELECT symbol, tag, val FROM r WHERE n = 1")
+def tags_latest_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.latest_fact(tagged(spark, sf_dir).withColumn("end", F.col("filed")))
+
+
+@_case(f"WITH {_TAGGED}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filed DESC, accn) AS n FROM t) SELECT symbol, accn, filed FROM r WHERE n <= 3 ORDER BY filed DESC, accn LIMIT 100")
+def tags_select_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.select_filings(tagged(spark, sf_dir).select("symbol", "accn", "filed"), 3, 100)
+
+
+@_case(f"WITH {_TAGGED} SELECT tag, count(DISTINCT accn) AS filings, min(label) AS label FROM t WHERE NOT regexp_matches(lower(tag), '{'|'.join((*tagging.STRUCTURE, *tagging.BREAKDOWN))}') GROUP BY tag")
+def tags_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.tag_usage(tagged(spark, sf_dir))
+
+
+@_case(None)
+def tags_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty companies in turn from strata of size and industry."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_acctbal").alias("size"), F.col("c_mktsegment").alias("industry"))
+    return tagging.stratified_sample(c, 60)
+
+
+@_case(None)
+def tags_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts = spark.createDataFrame([("sales", "Sales revenue net"), ("income", "Net income or loss"), ("assets", "Assets total")], "concept string, description string")
+    u = tagging.tag_usage(tagged(spark, sf_dir).withColumn("label", F.element_at(F.array(*map(F.lit, ("Sales Revenue, Net", "Assets, Total", "Table", "Net Income (Loss)"))), (F.col("accn") % 4 + 1).cast("int"))))
+    return tagging.suggest(concepts, u)

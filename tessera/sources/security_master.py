@@ -146,11 +146,15 @@ class SecurityMaster:
         return rows.unionByName(names).unionByName(fresh.select(*(made[c].alias(c) for c in self.rows.columns)))
 
 
-def sessions(rows: DataFrame, gap_days: int = 30, first: int = 1000) -> DataFrame:
-    """Adds security_id: a new one where permno changes or a symbol's row starts gap_days or more after the one before.
-
-    The running number is over one task, as the source's is; rows are symbols of securities, not facts."""
-    within = Window.partitionBy("permno").orderBy("start_date", "symbol")
-    new = F.lag("end_date").over(within).isNull() | (F.datediff("start_date", F.lag("end_date").over(within)) >= gap_days)
-    rows = rows.withColumn("_new", new.cast("int"))
+def sessions(rows: DataFrame, first: int = 1000) -> DataFrame:
+    """Adds security_id to rows (permno, symbol, ciks, start_date): a new one for each permno, and where its symbol changes while
+    the CIKs known before and after have none in common; unknown CIKs do not part a security.
+
+    The running number passes one task, with a row for each use of a symbol, not for facts."""
+    before = Window.partitionBy("permno").orderBy("start_date", "symbol")
+    known = lambda c: F.filter(c, lambda x: x.isNotNull())
+    old, now = known(F.lag("ciks").over(before)), known(F.col("ciks"))
+    parted = F.coalesce((F.size(old) > 0) & (F.size(now) > 0) & ~F.arrays_overlap(old, now), F.lit(False))
+    new = F.lag("permno").over(before).isNull() | (F.col("symbol") != F.lag("symbol").over(before)) & parted
+    rows = rows.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int"))
     return rows.withColumn("security_id", F.sum("_new").over(Window.orderBy("permno", "start_date", "symbol").rowsBetween(Window.unboundedPreceding, 0)) + first).drop("_new")

@@ -10,7 +10,7 @@ from tessera.journal import Journal
 from tessera.plans.errors import NoSuchKeyError, SecurityNotFoundError, StorageError, UnknownFieldError
 from tessera.plans.fields import FIELDS, build, build_order
 from tessera.profiler import profile
-from tessera.sources import fundamentals, ticks, universe
+from tessera.sources import fundamentals, tagging, ticks, universe
 from tessera.sources.calendar import TradingCalendar
 from tessera.sources.objects import ObjectStore
 from tessera.sources.security_master import SecurityMaster
@@ -185,3 +185,16 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.symbol, r.open, r.close) for r in spark.sql("SELECT * FROM bars").collect()} == {("A", 10.0, 30.0), ("B", 5.0, 5.0)}
+
+
+def test_tagging(spark, tmp_path):
+    c = spark.createDataFrame([(f"s{i}", float(i), "xy"[i % 2]) for i in range(30)], "symbol string, size double, industry string")
+    got = tagging.stratified_sample(c, 12).collect()
+    assert len(got) == 12 and {(r.tier, r.industry) for r in got} == {(t, k) for t in range(3) for k in "xy"} and got == tagging.stratified_sample(c.repartition(5), 12).collect()
+    concepts = spark.createDataFrame([("sales", "Sales revenue net")], "concept string, description string")
+    usage = spark.createDataFrame([("SalesRevenueNet", 9, "Sales Revenue, Net"), ("SalesTable", 99, "Sales Revenue, Net"), ("Goodwill", 5, "Goodwill")], "tag string, filings long, label string")
+    assert [(r.concept, r.tag) for r in tagging.suggest(concepts, usage).collect()] == [("sales", "SalesRevenueNet")]
+    m = spark.createDataFrame([("Tech",), ("None",)], "s string").select(tagging.mapped(F.col("s"), {"Tech": "Information Technology"}).alias("g"))
+    assert [r.g for r in m.collect()] == ["Information Technology", None]
+    f = spark.createDataFrame([("a", day("2024-01-01")), ("b", day("2024-02-01")), ("a", None)], "concept string, as_of_date date")
+    assert tagging.publish(f, str(tmp_path / "f")) == {"rows": 3, "concepts": 2, "latest": day("2024-02-01")}
