@@ -10,6 +10,7 @@ it at the same offset, so at different places in the corpus, and its count can o
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import compress
 
 import numpy as np
@@ -162,7 +163,8 @@ def repeated_cells(texts: DataFrame, size: int) -> np.ndarray:
     return out.reshape(DEPTH, -1)
 
 
-REPEATS = "a long, b long, doc_id long, start int, len int, sure boolean"
+#: a and b: 96 bits of a window's hash; 10^12 windows share one with probability under 10^-5.
+REPEATS = "a long, b int, doc_id long, start int, len int, sure boolean"
 
 
 def _candidates(size: int, sketch):
@@ -196,7 +198,7 @@ def _candidates(size: int, sketch):
                     s = slice(i, i + 100_000)
                     d, t = doc[at[s]], start[at[s]]
                     k = mix(d.view(np.uint64) ^ mix(t.astype(np.uint64), 5), 6)
-                    yield _repeat_batch(k, mix(k, 7), d, t, size_of[s], True)
+                    yield _repeat_batch(k, (mix(k, 7) >> np.uint64(32)).astype(np.uint32), d, t, size_of[s], True)
 
         total = 0
         for batch in batches:
@@ -209,7 +211,7 @@ def _candidates(size: int, sketch):
                     hit &= (bits[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
                 at = at[hit]
                 d = w.doc[at]
-                held.append([spans_hash(h, at, at + size), spans_hash(mix(h, 3), at, at + size), ids[i:j][d], (at - w.first[d]).astype(np.int32)])
+                held.append([spans_hash(h, at, at + size), (spans_hash(mix(h, 3), at, at + size) >> np.uint64(32)).astype(np.uint32), ids[i:j][d], (at - w.first[d]).astype(np.int32)])
                 total += len(at)
             if total > HELD:
                 yield from flush()
@@ -220,7 +222,14 @@ def _candidates(size: int, sketch):
 
 
 def _repeat_batch(a, b, doc, start, size, sure) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(as_long(a)), pa.array(as_long(b)), pa.array(doc), pa.array(start), pa.array(size), pa.array(np.full(len(a), sure))], names=["a", "b", "doc_id", "start", "len", "sure"])
+    return pa.RecordBatch.from_arrays([pa.array(as_long(a)), pa.array(b.view(np.int32)), pa.array(doc), pa.array(start), pa.array(size), pa.array(np.full(len(a), sure))], names=["a", "b", "doc_id", "start", "len", "sure"])
+
+
+def _packed(batches):
+    """doc_id and the text compressed: half of what the shuffle's own codec makes of it."""
+    for batch in batches:
+        texts = [None if t is None else zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
 
 def _removed(size: int):
@@ -243,7 +252,8 @@ def _removed(size: int):
                     at = ids[t - 1]
                     cuts.append((starts[lo:t][same], lens[lo:t][same]))
                 if t < len(ids):
-                    out.append((ids[t], *_kept(texts[t].as_py(), cuts if at == ids[t] else [], size)))
+                    text = texts[t].as_py()
+                    out.append((ids[t], *_kept(b"" if text is None else zlib.decompress(text), cuts if at == ids[t] else [], size)))
                 lo = t + 1
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -251,8 +261,8 @@ def _removed(size: int):
     return run
 
 
-def _kept(text: str | None, cuts: list, size: int) -> tuple[int, int, str, str]:
-    words = (text or "").encode().split()
+def _kept(text: bytes, cuts: list, size: int) -> tuple[int, int, str, str]:
+    words = text.split()
     if not cuts:
         kept = b" ".join(words)
         return len(words), 0, hashlib.sha256(kept).hexdigest(), kept.decode()
@@ -279,8 +289,8 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     found = docs.mapInArrow(_candidates(size, sketch), REPEATS)
     place = F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "start"))
     gone = found.withColumn("place", place).filter(F.col("sure") | (F.col("place") > 1))
-    rows = gone.select("doc_id", F.lit(0).alias("kind"), "start", "len", F.lit(None).cast("string").alias("text"))
-    rows = rows.unionByName(docs.select("doc_id", F.lit(1).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("len"), "text"))
+    rows = gone.select("doc_id", F.lit(0).alias("kind"), "start", "len", F.lit(None).cast("binary").alias("text"))
+    rows = rows.unionByName(docs.mapInArrow(_packed, "doc_id long, text binary").select("doc_id", F.lit(1).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("len"), "text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind", "start").mapInArrow(_removed(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
