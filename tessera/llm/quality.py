@@ -82,7 +82,7 @@ def sample_counts(rows: DataFrame, counter, terms: int) -> tuple[list, list[tupl
                     packed.append(at.astype(np.uint16).tobytes() + np.minimum(x[at], 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "counts"])
 
-    got = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label {kind}, counts binary").collect(), key=lambda r: (r.doc_id, bytes(r.counts)))
+    got = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label {kind}, counts binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.counts)))
     pairs = []
     for r in got:
         both = np.frombuffer(bytes(r.counts), np.uint16)
