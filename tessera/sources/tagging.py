@@ -85,7 +85,7 @@ def suggest(concepts: DataFrame, usage: DataFrame, most_used: int = 400, least:
     """concept, tag, score, filings: for each of concepts (concept, description) the best of the most used tags.
 
     score: three quarters likeness to the label, a quarter to the tag, rounded down, 10 more for each list of keywords, 30
-    less for structure. Likeness is of sets of words; the original's fuzzy ratio has no built-in counterpart. Concepts and the most_used tags are a few hundred rows each, whatever the filings."""
+    less for structure. Likeness is of sets of words. Concepts and the most_used tags are a few hundred rows each, whatever the filings."""
     tags = usage.orderBy(F.col("filings").desc(), "tag").limit(most_used)
     both = concepts.crossJoin(F.broadcast(tags))
     score = F.floor(0.75 * likeness(F.col("description"), F.col("label")) + 0.25 * likeness(F.col("concept"), F.col("tag"))) + _boost(F.col("concept"), F.col("label"), F.col("tag")) - F.when(F.lower("tag").rlike("|".join(STRUCTURE)), 30).otherwise(0)
