@@ -21,6 +21,8 @@ class Frame:
     """What a windowed node may use: partitionings, and the columns that order them."""
 
     group: Column | None = None
+    #: What ties go by: the symbol, or its place among the columns of a matrix.
+    tie: str = "symbol"
 
     index = property(lambda self: F.col(INDEX))
     symbol = property(lambda self: F.col("symbol"))
@@ -47,7 +49,7 @@ class Frame:
         return Window.partitionBy(INDEX) if self.group is None else Window.partitionBy(INDEX, self.group)
 
     def ordered(self, *by: Column) -> WindowSpec:
-        return self.day.orderBy(*by, "symbol")
+        return self.day.orderBy(*by, self.tie)
 
 
 def _column(n: Node, made: dict[int, str], fields: set[str]) -> Column:
@@ -73,6 +75,7 @@ def compile_nodes(panel: Panel, named: dict[str, Node]) -> DataFrame:
         raise ExpressionError(f"unknown field: {', '.join(missing)}")
     order = [c for c in ("symbol_pos",) if c in fields]
     df = panel.df.select("date", INDEX, "symbol", *order, *sorted(used - {"date", INDEX, "symbol", *order}))
+    tie = order[0] if order else "symbol"
     made: dict[int, str] = {}
     now = None
     for level in range(1, max((n.level for n in nodes), default=0) + 1):
@@ -96,9 +99,9 @@ def compile_nodes(panel: Panel, named: dict[str, Node]) -> DataFrame:
                     df = n.fn(df, name, *args)
                     made[id(n)] = name
                 elif part == GROUP:
-                    columns[name] = (n, n.fn(Frame(args[-1]), *args[:-1]))
+                    columns[name] = (n, n.fn(Frame(args[-1], tie), *args[:-1]))
                 else:
-                    columns[name] = (n, n.fn(Frame(), *args))
+                    columns[name] = (n, n.fn(Frame(tie=tie), *args))
             if columns:
                 df = df.withColumns({k: c for k, (_, c) in columns.items()})
                 made |= {id(n): k for k, (n, _) in columns.items()}

@@ -198,6 +198,9 @@ def test_matrices(spark):
     b = spark.createDataFrame([(d, 1.0, 2.0) for d in days], "Date date, Z double, B double")
     got = values(compute("a + b", a=a, b=b))
     assert got == {"Z": [1, 2, 3, 4], "B": [2, 3, 6, 11]}
+    # ties go by column order in matrices: Z stands before B
+    tied = values(compute("rank(a * 0)", a=a))
+    assert tied == {"Z": [0] * 4, "B": [1] * 4}
     wide = Panel.from_wide(a=a).to_wide("a").collect()
     assert [r["B"] for r in wide] == [0, 1, 4, 9]
     with pytest.raises(ColumnMismatchError):
