@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("low", "comp")).alias("comp"))
-        step = cut(step, "step")
+        # read twice, as a shuffle that is used again
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         new = cut(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("jump", "comp")).alias("comp")), "labels")
         labels = new.select("node", "comp")
