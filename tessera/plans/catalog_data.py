@@ -263,11 +263,17 @@ def compute_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_case(f"WITH RECURSIVE {PANEL_SQL} PIVOT (SELECT d AS date, s, volume FROM p WHERE s IN ('00000001', '00000002', '00000003')) ON s IN ('00000001', '00000002', '00000003') USING first(volume)")
 def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matrix: dates by symbols."""
+    """Three columns of the matrix of panel_wide_all, those that its SQL names; all other symbols are left out."""
     p = weekly_panel(spark, sf_dir).df
     return Panel(p.filter(F.col("symbol").isin("00000001", "00000002", "00000003"))).to_wide("volume")
 
 
+@_case(None)
+def panel_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix: dates by all symbols. Its SQL would have to list the symbols of the table."""
+    return weekly_panel(spark, sf_dir).to_wide("volume")
+
+
 _TAGGED = "t AS (SELECT o_custkey::VARCHAR AS symbol, o_orderkey AS accn, o_orderdate::DATE AS filed, CASE o_orderkey % 4 WHEN 0 THEN 'SalesRevenueNet' WHEN 1 THEN 'AssetsTotal' WHEN 2 THEN 'StatementTable' ELSE 'NetIncomeLoss' END AS tag, o_orderpriority AS label, round(o_totalprice) AS val, year(o_orderdate)::INT AS fy FROM orders)"
 
 

@@ -198,3 +198,25 @@ def test_tagging(spark, tmp_path):
     assert [r.g for r in m.collect()] == ["Information Technology", None]
     f = spark.createDataFrame([("a", day("2024-01-01")), ("b", day("2024-02-01")), ("a", None)], "concept string, as_of_date date")
     assert tagging.publish(f, str(tmp_path / "f")) == {"rows": 3, "concepts": 2, "latest": day("2024-02-01")}
+
+
+def write_tables(spark, path, lineitem, suppliers):
+    schema = "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lineitem, schema).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(s, s % 25) for s in suppliers], "s_suppkey long, s_nationkey int").write.parquet(f"{path}/supplier.parquet")
+
+
+def test_the_registered_matrix_has_all_symbols(spark, tmp_path):
+    from tessera.plans import catalog_data
+
+    rows = [(k, 1, k % 7 + 1, dt.datetime(2020, 1, 6) + dt.timedelta(days=k * 5 % 40), float(k), 10.0 * k) for k in range(60)]
+    write_tables(spark, str(tmp_path), rows, range(1, 8))
+    want = {}
+    for _, _, s, when, n, _ in rows:
+        key = (when.date() - dt.timedelta(days=when.weekday()), f"{s:08d}")
+        want[key] = want.get(key, 0.0) + n
+    got = catalog_data.QUERIES["panel_wide_all"](spark, str(tmp_path))
+    symbols = [f"{s:08d}" for s in range(1, 8)]
+    assert got.columns == ["date", *symbols]
+    assert {(r.date, s): r[s] for r in got.collect() for s in symbols if r[s] is not None} == want
+    assert [r.date for r in got.collect()] == sorted({d for d, _ in want})
