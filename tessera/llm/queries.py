@@ -15,7 +15,7 @@ from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.pii import find
 from tessera.llm.progressive_jpeg import digests, store_column
 from tessera.llm.quality import classify
-from tessera.llm.resharding import reshard
+from tessera.llm.resharding import through_files
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.warc import round_trip
 
@@ -46,8 +46,8 @@ def old_layout(shards: int = 16):
 
 
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 shards laid out by source to 24 of equal row counts."""
-    return reshard(table(spark, sf_dir, "documents"), old_layout(), 24)
+    """From 16 shards laid out by source to 24 of equal row counts, in files, read back from the new ones."""
+    return through_files(table(spark, sf_dir, "documents"), old_layout(), 24)
 
 
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,13 @@ Rows of a block are numbered in parallel: by hash into sub-blocks, by prefix sum
 from __future__ import annotations
 
 import heapq
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, shared_dir
 
 #: Rows of a sub-block, about.
 SUB_ROWS = 20_000
@@ -114,9 +115,23 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, keep: tuple[st
     has none, and the checksum of nothing. Row counts of shards differ by one at most (law `rows`), also with fewer rows
     than shards; slots run gapless from 0. Rows that repeat a doc_id are separate rows; which of equal rows gets which
     slot is open. Equal texts may part. An empty table gives no rows. Extra columns are ignored unless kept."""
+    out = _placed(cut(_rows(docs, old_shard, keep), "rows"), shards)[0]
+    return out.select(*(F.col(c).alias(c.removeprefix("kept_")) for c in out.columns))
+
+
+def _measured() -> tuple[Column, Column]:
+    """size and text_crc32 of the column text."""
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    rows = cut(rows.withColumn("kind", F.length(F.bin("size"))), "rows")
+    return (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32")
+
+
+def _rows(docs: DataFrame, old_shard: Column, keep: tuple[str, ...]) -> DataFrame:
+    rows = docs.select("doc_id", *_measured(), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    return rows.withColumn("kind", F.length(F.bin("size")))
+
+
+def _placed(rows: DataFrame, shards: int) -> tuple[DataFrame, list[Move]]:
+    """The result of reshard(), kept columns under kept_ and their names, and its moves. rows are read more than once, so they need to be in files."""
     blocks = rows.groupBy("old_shard", "kind").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     moves, _ = solve([tuple(b) for b in blocks], shards)
     subs = max(64, max((b["rows"] for b in blocks), default=0) // SUB_ROWS)
@@ -130,21 +145,59 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, keep: tuple[st
     by_block: dict[tuple[int, int], list] = {}
     for m in moves:
         by_block.setdefault((m.old, m.kind), []).append((m.lo, m.hi, m.shard, m.slot))
-    plan = docs.sparkSession.createDataFrame([(*k, v) for k, v in by_block.items()], "old_shard int, kind int, parts array<struct<lo: long, hi: long, to: int, slot: long>>")
+    plan = rows.sparkSession.createDataFrame([(*k, v) for k, v in by_block.items()], "old_shard int, kind int, parts array<struct<lo: long, hi: long, to: int, slot: long>>")
     out = out.join(F.broadcast(plan), ["old_shard", "kind"])
     part = F.filter("parts", lambda x: (x["lo"] <= F.col("place")) & (F.col("place") < x["hi"]))[0]
     out = out.withColumn("part", part)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("part.to").alias("shard"), (F.col("part.slot") + F.col("place") - F.col("part.lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("part.to")).alias("moved"), *(F.col(f"kept_{c}").alias(c) for c in keep))
+    out = out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("part.to").alias("shard"), (F.col("part.slot") + F.col("place") - F.col("part.lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("part.to")).alias("moved"), *(c for c in rows.columns if c.startswith("kept_")))
+    return out, moves
 
 
 def rewrite_files(docs: DataFrame, path: str, old_shard: Column, shards: int = 24) -> list[int]:
     """Brings a table of folders shard=N under path, which holds docs, to the new layout; writes only folders of shards
-    that lose or gain rows, and returns their numbers."""
-    placed = cut(reshard(docs, old_shard, shards, keep=tuple(c for c in docs.columns if c not in ("doc_id", "shard"))), "placed")
-    moved = placed.filter("moved")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()})
-    cols = [c for c in docs.columns if c != "shard"]
+    that lose or gain rows, and returns their numbers. A folder that loses all rows goes.
+
+    docs must be the files under path as read. All new folders are written beside path first, in one pass, and then take
+    the places of the old ones one by one."""
+    spark = docs.sparkSession
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "shard"))
+    placed, moves = _placed(_rows(docs, old_shard, keep), shards)
+    touched = sorted({s for m in moves if m.old != m.shard for s in (m.old, m.shard)})
+    if not touched:
+        return touched
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows = placed.filter(F.col("shard").isin(touched)).sortWithinPartitions("shard", "slot")
+    rows.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "shard").write.partitionBy("shard").parquet(fresh)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for s in touched:
-        # a folder at a time, each replaced as a whole; an emptied one is left with no rows
-        placed.filter(F.col("shard") == s).select(*cols).sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/shard={s}")
+        old, new = at(f"{path}/shard={s}"), at(f"{fresh}/shard={s}")
+        fs.delete(old, True)
+        if fs.exists(new) and not fs.rename(new, old):
+            raise OSError(f"{new.toString()} can't be renamed")
+    fs.delete(at(fresh), True)
     return touched
+
+
+def read_layout(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a table of folders shard=N under path, with shard and slot: their places in the shard's files, by name."""
+    rows = spark.read.schema(f"{schema}, shard int").parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file
+    ahead = rows.groupBy("shard", "_file").count().select("shard", "_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    return rows.join(F.broadcast(ahead), ["shard", "_file"]).withColumn("slot", F.col("_ahead") + F.col("_at")).drop("_file", "_at", "_ahead")
+
+
+def through_files(docs: DataFrame, old_shard: Column, shards: int = 24) -> DataFrame:
+    """The columns of reshard(), taken from files: docs are laid out in folders by old_shard (an expression over docs that
+    gives the same for a row at any time) in the shared folder, brought to the new layout and read back."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    docs = docs.drop("shard", "slot")
+    old = F.coalesce(old_shard.cast("int"), F.lit(0))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    rewrite_files(spark.read.schema(f"{schema}, shard int").parquet(path), path, F.col("shard"), shards)
+    out = read_layout(spark, path, schema).withColumn("old_shard", old)
+    return out.select("doc_id", *_measured(), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"))

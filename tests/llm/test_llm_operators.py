@@ -140,6 +140,28 @@ def test_resharding_rewrites_only_what_it_must(spark, tmp_path):
     assert again == [] and before
 
 
+def test_resharding_query_reads_rewritten_files(spark, tmp_path, monkeypatch):
+    from tessera.llm import queries
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(60)), "en", rng.choice("aaab")) for i in range(200)] + [(7, "again", "en", "b"), (None, None, None, None)]
+    docs_of(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    calls, rewrite = [], resharding.rewrite_files
+    monkeypatch.setattr(resharding, "rewrite_files", lambda docs, path, *a: calls.append((path, rewrite(docs, path, *a))))
+    got = queries.op5_resharding(spark, str(tmp_path)).collect()
+    (path, touched), = calls
+    assert touched and {r.shard: r.n for r in spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n")).collect()} == {s: sum(r.shard == s for r in got) for s in range(24)}
+    want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    assert sorted((r["size"], r.text_crc32) for r in got) == want and all(r.moved == (r.old_shard != r.shard) for r in got)
+    for s in range(24):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 24, len(rows) // 24 + 1)
+    plan = resharding.reshard(spark.read.parquet(str(tmp_path / "documents.parquet")), queries.old_layout(), 24)
+    assert sorted((r.old_shard, r["size"], r.text_crc32, r.shard) for r in plan.collect()) == sorted((r.old_shard, r["size"], r.text_crc32, r.shard) for r in got)
+    assert resharding.through_files(docs_of(spark, []), F.lit(0), 24).count() == 0
+    assert resharding.through_files(docs_of(spark, [(1, "a")]), F.lit(None), 24).count() == 1
+
+
 def test_warc_round_trip_and_revisits(spark):
     html = "<p>é</p>"
     rows = [(5, "http://a", html), (2, "http://b\r\nX: y", html), (9, None, html), (3, "u", None), (4, "u", ""), (7, "u", "z" * 10000), (None, "u", html), (2, "http://b", html)]
