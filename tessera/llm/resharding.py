@@ -1,11 +1,13 @@
 """Resharding by minimum-cost flow (operator 5).
 
 Old shards are cut into blocks by size class. A flow network carries rows from blocks to new shards: staying at home is
-free, moving costs a block's mean bytes a row, and capacities make row counts at most one apart. Its solution moves
-the fewest bytes, to the precision of size classes, and says how many rows each block sends where. The network holds
+free, moving costs a block's mean bytes a row, and capacities make row counts at most one apart. Its solution says how
+many rows each block sends where; of a block that moves in part the smallest rows move, so that the fewest bytes do, but
+for the choice of which shards hold a row more, which goes by mean bytes. The network holds
 old shards x 40 classes at most, whatever the number of rows; only those sums reach the driver.
 
-Rows of a block are numbered in parallel: by hash into sub-blocks, by prefix sums of their counts, and within each."""
+Rows of a block are numbered in parallel, by size: by size and hash into sub-blocks, by prefix sums of their counts (a
+row per distinct size), and within each."""
 
 from __future__ import annotations
 
@@ -134,11 +136,15 @@ def _placed(rows: DataFrame, shards: int) -> tuple[DataFrame, list[Move]]:
     """The result of reshard(), kept columns under kept_ and their names, and its moves. rows are read more than once, so they need to be in files."""
     blocks = rows.groupBy("old_shard", "kind").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     moves, _ = solve([tuple(b) for b in blocks], shards)
-    subs = max(64, max((b["rows"] for b in blocks), default=0) // SUB_ROWS)
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)))
-    keys = ["old_shard", "kind", "sub"]
-    before = Window.partitionBy("old_shard", "kind").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = rows.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    # numbered from the largest row down, so that the rows that stay, which come first, are the largest
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(64, max((b["rows"] for b in blocks), default=0) // SUB_ROWS))))
+    keys = ["old_shard", "kind", "size", "sub"]
+    counts = rows.groupBy(*keys).count()
+    before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    larger = counts.groupBy("old_shard", "kind", "size").agg(F.sum("count").alias("count"))
+    larger = larger.select("old_shard", "kind", "size", F.coalesce(F.sum("count").over(before("old_shard", "kind").orderBy(F.desc("size"))), F.lit(0)).alias("larger"))
+    ahead = counts.select(*keys, F.coalesce(F.sum("count").over(before("old_shard", "kind", "size").orderBy("sub")), F.lit(0)).alias("ahead"))
+    ahead = ahead.join(larger, ["old_shard", "kind", "size"]).select(*keys, (F.col("ahead") + F.col("larger")).alias("ahead"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "text_crc32")) - 1
     out = rows.withColumn("place", place).join(ahead, keys).withColumn("place", F.col("place") + F.col("ahead"))
     # one row per block, of a bounded number: old shards x size classes

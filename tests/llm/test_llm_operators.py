@@ -140,6 +140,13 @@ def test_resharding_rewrites_only_what_it_must(spark, tmp_path):
     assert again == [] and before
 
 
+def test_resharding_moves_the_smallest_rows_of_a_class(spark):
+    rows = [(i, "x" * (70 + i * 37 % 50)) for i in range(50)]  # sizes 78 to 127: one class
+    got = resharding.reshard(docs_of(spark, rows), F.lit(0), 5).collect()
+    assert sorted(r["size"] for r in got if not r.moved) == list(range(118, 128))
+    assert sum(r["size"] for r in got if r.moved) == sum(range(78, 118))
+
+
 def test_resharding_query_reads_rewritten_files(spark, tmp_path, monkeypatch):
     from tessera.llm import queries
 
