@@ -179,12 +179,21 @@ def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_case("""SELECT event_id, 'E' || user_id::VARCHAR AS symbol, strftime(ts::TIMESTAMP - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S') AS timestamp, round(value, 4) AS open, (event_id % 100)::BIGINT AS volume FROM events WHERE month(ts) IN (1, 2, 12)""")
 def ticks_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bars to rows in local time (winter months, when the offset is five hours)."""
-    e = _read(spark, sf_dir, "events").filter(F.month("ts").isin(1, 2, 12))
+    return _parsed(_read(spark, sf_dir, "events").filter(F.month("ts").isin(1, 2, 12)))
+
+
+def _parsed(e: DataFrame) -> DataFrame:
     bar = F.to_json(F.struct(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("t"), F.col("value").alias("o"), (F.col("event_id") % 100).alias("v")))
     rows = ticks.parse_bars(e.select("event_id", F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("symbol"), bar.alias("value")))
     return ticks.normal_form(rows).select("event_id", "symbol", "timestamp", "open", "volume")
 
 
+@_case("""SELECT event_id, 'E' || user_id::VARCHAR AS symbol, strftime((ts::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%dT%H:%M:%S') AS timestamp, round(value, 4) AS open, (event_id % 100)::BIGINT AS volume FROM events""")
+def ticks_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON bars to rows in local time, in winter and summer."""
+    return _parsed(_read(spark, sf_dir, "events"))
+
+
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual and quarterly figures of customers: orders by year and quarter, filed at its end; a quarter may be missing."""
     o = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.round("o_totalprice").alias("v"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"))

@@ -220,3 +220,18 @@ def test_the_registered_matrix_has_all_symbols(spark, tmp_path):
     assert got.columns == ["date", *symbols]
     assert {(r.date, s): r[s] for r in got.collect() for s in symbols if r[s] is not None} == want
     assert [r.date for r in got.collect()] == sorted({d for d, _ in want})
+
+
+def test_ticks_of_all_months_are_parsed(spark, tmp_path):
+    from zoneinfo import ZoneInfo
+
+    from tessera.plans import catalog_data
+
+    start = dt.datetime(2024, 1, 1, 3, 30, tzinfo=dt.timezone.utc)
+    times = [start + dt.timedelta(hours=41 * k) for k in range(214)]
+    times += [dt.datetime(2024, m, d, h, 59, 59, tzinfo=dt.timezone.utc) for m, d in ((3, 10), (11, 3)) for h in (5, 6, 7)]
+    rows = [(k, k % 5, t.strftime("%Y-%m-%d %H:%M:%S"), k / 8) for k, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.timestamp for r in catalog_data.QUERIES["ticks_parse_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: t.astimezone(ZoneInfo("America/New_York")).strftime("%Y-%m-%dT%H:%M:%S") for k, t in enumerate(times)}
