@@ -60,15 +60,37 @@ def tag_usage(facts: DataFrame) -> DataFrame:
 
 
 def _words(c: Column) -> Column:
-    """The distinct lower-case words of a name, camel case taken apart."""
-    spaced = F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.array_distinct(F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda w: w != ""))
+    """The lower-case words of a name, as white space parts them."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+
+
+def token_set_ratio(a: list[str], b: list[str]) -> float:
+    """0 to 100: the likeness of two sets of words that rapidfuzz has under this name.
+
+    100 if one set holds the other; else the best of comparing the shared words with both sets and the sets with each
+    other, by insertions and deletions in the sorted words joined by spaces."""
+    x, y = set(a), set(b)
+    if not x or not y:
+        return 0.0
+    shared = x & y
+    if shared and (shared == x or shared == y):
+        return 100.0
+    p, q = " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    run = [0] * (len(q) + 1)  # longest common subsequences
+    for c in p:
+        last = 0
+        for k, d in enumerate(q, 1):
+            last, run[k] = run[k], last + 1 if c == d else max(run[k], run[k - 1])
+    both, gap = len(" ".join(shared)), int(bool(shared))
+    ratio = lambda apart, of: 100.0 - 100.0 * apart / of
+    out = ratio(len(p) + len(q) - 2 * run[-1], 2 * (both + gap) + len(p) + len(q))
+    return max(out, *(ratio(gap + len(z), 2 * both + gap + len(z)) for z in (p, q))) if shared else out
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 100: twice the shared words over all words of both."""
-    x, y = _words(a), _words(b)
-    return F.coalesce(F.try_divide(200.0 * F.size(F.array_intersect(x, y)), (F.size(x) + F.size(y)).cast("double")), F.lit(0.0))
+    """0 to 100: the token-set ratio of two names; 0 if one is null."""
+    words = lambda c: F.coalesce(_words(c), F.array().cast("array<string>"))
+    return F.udf(token_set_ratio, "double")(words(a), words(b))
 
 
 def _boost(concept: Column, label: Column, tag: Column) -> Column:
@@ -85,7 +107,7 @@ def suggest(concepts: DataFrame, usage: DataFrame, most_used: int = 400, least:
     """concept, tag, score, filings: for each of concepts (concept, description) the best of the most used tags.
 
     score: three quarters likeness to the label, a quarter to the tag, rounded down, 10 more for each list of keywords, 30
-    less for structure. Likeness is of sets of words. Concepts and the most_used tags are a few hundred rows each, whatever the filings."""
+    less for structure. Likeness is the token-set ratio. Concepts and the most_used tags are a few hundred rows each, whatever the filings."""
     tags = usage.orderBy(F.col("filings").desc(), "tag").limit(most_used)
     both = concepts.crossJoin(F.broadcast(tags))
     score = F.floor(0.75 * likeness(F.col("description"), F.col("label")) + 0.25 * likeness(F.col("concept"), F.col("tag"))) + _boost(F.col("concept"), F.col("label"), F.col("tag")) - F.when(F.lower("tag").rlike("|".join(STRUCTURE)), 30).otherwise(0)

@@ -235,3 +235,12 @@ def test_ticks_of_all_months_are_parsed(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     got = {r.event_id: r.timestamp for r in catalog_data.QUERIES["ticks_parse_all"](spark, str(tmp_path)).collect()}
     assert got == {k: t.astimezone(ZoneInfo("America/New_York")).strftime("%Y-%m-%dT%H:%M:%S") for k, t in enumerate(times)}
+
+
+def test_likeness_is_the_token_set_ratio(spark):
+    pairs = {("net income", "Net income loss attributable to parent"): 100.0, ("revenue", "Revenues"): 100 - 100 / 15, ("net income", None): 0.0, ("", "x"): 0.0, ("cost of goods", "Cost of sales"): 70.0}
+    df = spark.createDataFrame(list(pairs), "a string, b string").withColumn("x", tagging.likeness(F.col("a"), F.col("b")))
+    assert {(r.a, r.b): round(r.x, 9) for r in df.collect()} == {k: round(v, 9) for k, v in pairs.items()}
+    concepts = spark.createDataFrame([("net_income", "net income")], "concept string, description string")
+    usage = spark.createDataFrame([("ProfitLoss", 5, "Net income loss attributable to parent")], "tag string, filings long, label string")
+    assert [r.tag for r in tagging.suggest(concepts, usage).collect()] == ["ProfitLoss"]
