@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder the caller set on the context.
+
+    A local master has one machine, so there a temporary folder serves where neither is set; elsewhere that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
@@ -33,7 +39,28 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of tables that cut() made and that nothing will read again; other tables are left alone."""
+    for t in tables:
+        if path := getattr(t, "cut_path", None):
+            remove(t.sparkSession, path)
+
+
+def salted_join(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 8) -> DataFrame:
+    """rows join small, which has one row a key, dealt over salts: rows of one key are read by so many tasks."""
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c not in on)), F.lit(salts)).cast("int")
+    return rows.withColumn("salt", dealt).join(salted, [*on, "salt"], how).drop("salt")
 
 
 def id_crc(col: Column) -> Column:

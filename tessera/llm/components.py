@@ -1,29 +1,55 @@
-"""Connected components of links by iterated label minimisation with pointer jumping, all in shuffled tables."""
+"""Connected components of links, all in shuffled tables: hook to the smallest neighbour, jump to roots, contract."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, forget, salted_join
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable over edges (a long, b long).
-
-    Each round every node takes the smallest label of itself and its neighbours, then the label of that label; the
-    rounds needed grow as the logarithm of a component's diameter. Minima are combined before the shuffle, so a node of
-    many links costs no single task more than one row per task. Rows and labels never reach the driver, only a count.
-    No edges give no rows; null ends and loops are ignored."""
-    edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "labels")
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, comp): the root of every node of a forest (node, comp), where comp, the parent, is smaller than node.
+
+    Pointer jumping: rounds grow as the logarithm of the depth. Roots themselves have no row. A parent of very many nodes
+    is dealt over several tasks. An empty forest gives no rows."""
+    now = cut(parents.select("node", "comp"), "parents")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("low", "comp")).alias("comp"))
-        # read twice, as a shuffle that is used again
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        new = cut(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("jump", "comp")).alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.filter("was <> comp").isEmpty():
-            return labels
+        up = now.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        new = cut(salted_join(now, up, ["comp"]).select("node", F.coalesce("top", "comp").alias("comp"), F.col("top").isNotNull().alias("moved")), "parents")
+        forget(now)
+        if new.filter("moved").isEmpty():
+            return new.drop("moved")
+        now = new.drop("moved")
+        now.cut_path = new.cut_path
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node reachable over edges (a long, b long), for every node but those smallest ones.
+
+    Every node hooks to its smallest neighbour, if that is smaller; trees shrink to their roots, edges to edges between
+    roots, which at least halve in two rounds. Rows never reach the driver, only whether there are any. No edges give
+    no rows; null ends and loops are ignored."""
+
+    def between(a, b) -> DataFrame:
+        return edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
+
+    edges = cut(between("a", "b"), "edges")
+    found = None
+    while found is None or not edges.isEmpty():
+        near = roots(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")))
+        if found is None:
+            found = near
+        else:
+            further = near.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            found = cut(salted_join(found, further, ["comp"]).select("node", F.coalesce("top", "comp").alias("comp")).unionByName(near), "labels")
+        ends = salted_join(edges, near.select(F.col("node").alias("a"), F.col("comp").alias("x")), ["a"])
+        edges = salted_join(ends, near.select(F.col("node").alias("b"), F.col("comp").alias("y")), ["b"])
+        edges = cut(between(F.coalesce("x", "a"), F.coalesce("y", "b")), "edges")
+    return found
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node reachable over edges (a long, b long), for every node of an edge that is no loop."""
+    found = labels(edges)
+    return found.unionByName(found.select(F.col("comp").alias("node"), "comp").distinct())

@@ -5,9 +5,11 @@ BITS bits of all minima, packed into 64-bit words, estimate similarity from coun
 the 2**-BITS chance of a collision. Estimates only choose what is confirmed, on full sets.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8**4)**32 < 1e-7, and falls below the margin of
-the estimate with probability < 1e-6. Only connections count, so a round confirms, for each set, its best partner
-in other components; the last round confirms every remaining pair between different components. Buckets are
-streamed from sorted partitions in blocks; no bucket is gathered and no group's pairs are all emitted."""
+the estimate with probability < 1e-6. Only connections count. So first every set is confirmed against one partner, the
+smallest id that is surely alike or else the best by estimate, which gives a forest. Then buckets that hold several
+components are held against themselves: sets that may link across components by estimate, by size and by the shingles
+that other components hold at all, meet again with those shingles, and their exact intersections decide. A task emits
+a forest of what it links, never pairs. Buckets are counted first; a large one is cut into tiles of a bounded size."""
 
 from __future__ import annotations
 
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, tune
-from tessera.llm.components import components
+from tessera.llm.common import cut, forget, salted_join, tune
+from tessera.llm.components import labels, roots
 from tessera.llm.words import LOWER, as_long, chunks, column_bytes, mix
 
 ROWS, BANDS, BITS = 4, 32, 2
@@ -27,17 +29,17 @@ PERMS = ROWS * BANDS
 FIELDS = np.uint64(0x5555555555555555)
 #: Five standard deviations of the estimate at similarity 0.8: sqrt(.85 * .15 / 128) / .75 = 0.042.
 MARGIN = 0.21
-#: Members of a bucket compared at once.
+#: Rows of a bucket in one block, about.
 BLOCK = 1024
-#: Rounds of best pairs at most before every pair that is left is confirmed.
-ROUNDS = 2
-PAIRS = "a long, b long, est double"
+#: An estimate that is hardly ever seen under 0.8.
+SURE = 0.9
+#: Tasks that hold the partners of one set, at most.
+SALTS = 32
+PAIRS, OPEN = "a long, b long, est double", "head long, comp long"
 
-#: Minima of the longer signatures that sets left open by the first round get, and their margin: again five deviations.
-FINE_PERMS, FINE_MARGIN = 1024, 0.075
 _rng = np.random.default_rng(20240229)
-MULT = _rng.integers(1, 1 << 63, FINE_PERMS, dtype=np.uint64) | np.uint64(1)
-PLUS = _rng.integers(0, 1 << 63, FINE_PERMS, dtype=np.uint64)
+MULT = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
+PLUS = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
 
 
 def shingle_sets(arr: pa.Array, k: int):
@@ -60,12 +62,12 @@ def shingle_sets(arr: pa.Array, k: int):
             yield i + d, alone[d] if d in alone else np.unique(g[cut_at[d] : cut_at[d + 1]])
 
 
-def minima(sets: list[np.ndarray], perms: int = PERMS) -> np.ndarray:
-    """One row of perms minima per non-empty set: min of the high 32 bits of multiply-add hashes."""
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of PERMS minima per non-empty set: min of the high 32 bits of multiply-add hashes."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), perms), np.uint32)
-    for p in range(perms):
+    out = np.empty((len(sets), PERMS), np.uint32)
+    for p in range(PERMS):
         out[:, p] = np.minimum.reduceat(((flat * MULT[p] + PLUS[p]) >> np.uint64(32)).astype(np.uint32), at)
     return out
 
@@ -126,50 +128,40 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 class Run(NamedTuple):
-    """Members of one bucket: columns of arrays. common: shingles that other components may share."""
+    """Members of one tile: columns of arrays. side: -1 where all are compared, else only members of different sides."""
 
-    key: np.ndarray
+    tile: np.ndarray
     ids: np.ndarray
     comp: np.ndarray
     size: np.ndarray
-    common: np.ndarray
+    side: np.ndarray
     sig: np.ndarray
-    keys: np.ndarray  # all band keys of a member, one column each
+    common: list  # of exact tiles: the sorted shingles that other components hold as well
 
 
-def _runs(batches, wide: bool = True):
-    """Streams rows sorted by key as runs of two members or more; sig is empty if not wide."""
-    rest = None
+def _runs(batches):
+    """Streams rows sorted by tile, of a bounded size each, as runs of two members or more."""
+    rest: list[list] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
-        if wide:
-            now.append(column_bytes(batch.column(5))[0].view(np.uint64).reshape(batch.num_rows, -1))
-            now.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_columns > 6 else np.zeros((batch.num_rows, 0), np.int64))
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        edges = np.flatnonzero(np.diff(now[0])) + 1
-        bounds = np.concatenate([[0], edges])
-        for i in np.flatnonzero(np.diff(bounds) > 1):
-            yield [x[bounds[i] : bounds[i + 1]] for x in now]
-        rest = [x[bounds[-1] :] for x in now]
-    if rest is not None and len(rest[0]) > 1:
-        yield rest
-
-
-def _shared(batches):
-    """Key and id of the members of buckets that hold two or more."""
-    keys, ids, n = [], [], 0
-    for run in _runs(batches, wide=False):
-        keys.append(run[0])
-        ids.append(run[1])
-        n += len(run[0])
-        if n > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], names=["key", "doc_id"])
-            keys, ids, n = [], [], 0
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], names=["key", "doc_id"])
+        now.append(column_bytes(batch.column(5))[0].view(np.uint64).reshape(batch.num_rows, -1))
+        now.append(np.arange(batch.num_rows))
+        sets = [np.sort(x.values.to_numpy()) for x in batch.column(6)] if batch.num_columns > 6 else None
+        bounds = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            part = [x[lo:hi] for x in now[:6]] + [sets[lo:hi] if sets else []]
+            if rest and rest[-1][0][0] != part[0][0]:
+                yield from _run(rest)
+                rest = []
+            rest.append(part)
+    yield from _run(rest)
+
+
+def _run(parts: list[list]):
+    if sum(len(p[0]) for p in parts) > 1:
+        yield Run(*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:6]), [s for p in parts for s in p[6]])
 
 
 def may_link(na, nb, common, percent: int):
@@ -179,147 +171,192 @@ def may_link(na, nb, common, percent: int):
 
 
 def _best(least: float, percent: int):
-    """For each set its best partner of a lower position within a block of its bucket, if its estimate is at least least."""
+    """For each set a partner of a smaller id within its tile: the smallest that is surely alike, or else the one of the
+    highest estimate, if that is at least least."""
 
     def run(batches):
         a, b, e = [], [], []
-        for r in map(Run._make, _runs(batches)):
-            for i in range(0, len(r.ids), BLOCK):
-                # a block also sees the last set of the one before it, so that a long bucket's blocks hang together
-                cut_at = slice(max(0, i - 1), i + BLOCK)
-                x, n, s = r.ids[cut_at], r.size[cut_at], r.sig[cut_at]
-                for lo in range(1, len(x), 128):
-                    hi = min(len(x), lo + 128)
-                    est = estimate(s[lo:hi, None, :], s[None, :hi, :])
-                    est[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = -1
-                    est[~may_link(n[lo:hi, None], n[None, :hi], n[None, :hi], percent)] = -1
-                    p = est.argmax(1)
-                    v = est[np.arange(hi - lo), p]
-                    ok = v >= least
-                    a.append(x[lo:hi][ok])
-                    b.append(x[p[ok]])
-                    e.append(v[ok])
+        for r in _runs(batches):
+            order = np.argsort(r.ids, kind="stable")
+            x, n, s = r.ids[order], r.size[order], r.sig[order]
+            for lo in range(1, len(x), 128):
+                hi = min(len(x), lo + 128)
+                est = estimate(s[lo:hi, None, :], s[None, :hi, :])
+                est[x[None, :hi] >= x[lo:hi, None]] = -1
+                est[~may_link(n[lo:hi, None], n[None, :hi], n[None, :hi], percent)] = -1
+                sure = est >= SURE
+                p = np.where(sure.any(1), sure.argmax(1), est.argmax(1))
+                v = est[np.arange(hi - lo), p]
+                ok = v >= least
+                a.append(x[lo:hi][ok])
+                b.append(x[p[ok]])
+                e.append(v[ok])
             if sum(map(len, a)) > 20_000:
-                yield _pairs(a, b, e)
+                yield _batch(PAIRS, a, b, e)
                 a, b, e = [], [], []
-        yield _pairs(a, b, e)
+        yield _batch(PAIRS, a, b, e)
 
     return run
 
 
-def _blocks(comp: np.ndarray, most: int = 256) -> list[tuple[int, int]]:
-    """Bounds of blocks of sorted comp: of whole small components, or of up to `most` members of one larger component."""
-    edges = [0, *(np.flatnonzero(np.diff(comp)) + 1).tolist(), len(comp)]
-    out, lo = [], 0
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b - lo > most:
-            if a > lo:
-                out.append((lo, a))
-            lo = a
-            if b - a > most:
-                out += [(x, min(b, x + most)) for x in range(a, b, most)]
-                lo = b
-    return out + [(lo, len(comp))] * (lo < len(comp))
+def _batch(schema: str, *cols: list) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    types = [np.float64 if k == "double" else np.int64 for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *c]).astype(t)) for c, t in zip(cols, types, strict=True)], names=list(names))
+
 
+def _pairs_of(r: Run, least: float, percent: int, common: np.ndarray):
+    """(rows lo to hi, whether each may link with each member of the tile): different components, of different sides if
+    the tile has sides, by sizes, by shingles in common at most and by estimate."""
+    for lo in range(0, len(r.ids), 128):
+        q = slice(lo, lo + 128)
+        ok = (r.comp[q, None] != r.comp[None, :]) & ((r.side[q, None] != r.side[None, :]) | (r.side[q, None] < 0))
+        if ok.any():
+            ok &= may_link(r.size[q, None], r.size[None, :], np.minimum(common[q, None], common[None, :]), percent)
+        if ok.any():
+            ok &= estimate(r.sig[q, None, :], r.sig[None, :, :]) >= least
+        yield lo, ok
 
-def _across(least: float, percent: int, whole: bool):
-    """Pairs of a bucket between different components that may link by estimate, sizes and common shingles. If whole,
-    each from the first of the buckets that the pair shares, so once; if not, only the best pair of each set, so no
-    more rows than the bucket has."""
+
+def _open(least: float, percent: int):
+    """The members of a tile that may link with one of another component, by estimate and sizes: a row each at most."""
 
     def run(batches):
-        a, b, e = [], [], []
-        for r in map(Run._make, _runs(batches)):
-            order = np.argsort(r.comp, kind="stable")
-            r = Run(*(x[order] for x in r))
-            top, mate = np.full(len(order), -1.0), np.zeros(len(order), np.int64)
-            for lo, hi in _blocks(r.comp):
-                qs = slice(lo, hi)
-                for t in range(lo, len(order), 2048):
-                    ts = slice(t, t + 2048)
-                    ok = (r.comp[qs][:, None] < r.comp[None, ts]) & may_link(r.size[qs][:, None], r.size[None, ts], np.minimum(r.common[qs][:, None], r.common[None, ts]), percent)
-                    if not ok.any():
-                        continue
-                    est = estimate(r.sig[qs][:, None, :], r.sig[None, ts, :])
-                    est[~ok | (est < least)] = -1
-                    if whole:
-                        i, j = np.nonzero(est >= 0)
-                        same = r.keys[qs][i] == r.keys[ts][j]
-                        own = r.keys[qs][i, same.argmax(1)] == r.key[0]
-                        i, j = i[own], j[own]
-                        a.append(r.ids[qs][i])
-                        b.append(r.ids[ts][j])
-                        e.append(est[i, j])
-                        continue
-                    for part, other, axis in ((qs, ts, 1), (ts, qs, 0)):
-                        p, v = est.argmax(axis), est.max(axis)
-                        better = v > top[part]
-                        mate[part] = np.where(better, p + other.start, mate[part])
-                        top[part] = np.where(better, v, top[part])
-            if not whole and (i := np.flatnonzero(top >= 0)).size:
-                a.append(r.ids[i])
-                b.append(r.ids[mate[i]])
-                e.append(top[i])
-            if sum(map(len, a)) > 20_000:
-                yield _pairs(a, b, e)
-                a, b, e = [], [], []
-        yield _pairs(a, b, e)
+        ids, comp = [], []
+        for r in _runs(batches):
+            if r.comp.min() < r.comp.max():
+                hit = np.concatenate([ok.any(1) for _, ok in _pairs_of(r, least, percent, r.size)])
+                ids.append(r.ids[hit])
+                comp.append(r.comp[hit])
+            if sum(map(len, ids)) > 20_000:
+                yield _batch(OPEN, ids, comp)
+                ids, comp = [], []
+        yield _batch(OPEN, ids, comp)
 
     return run
 
 
-def _pairs(a, b, e) -> pa.RecordBatch:
-    cat = lambda x, t: np.concatenate([np.asarray(v, t) for v in x]) if x else np.zeros(0, t)
-    a, b, e = cat(a, np.int64), cat(b, np.int64), cat(e, np.float64)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(e)], names=["a", "b", "est"])
+def _shared(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many members each two sets have in common: products of their incidence matrix, some columns at a time."""
+    u, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    held = np.flatnonzero(np.bincount(at) > 1)
+    name = np.full(len(u), -1)
+    name[held] = np.arange(len(held))
+    at = name[at]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, len(held), columns):
+        s = slice(*np.searchsorted(at, [lo, lo + columns]))
+        x = np.zeros((len(sets), min(columns, len(held) - lo)), np.float32)
+        x[row[s], at[s] - lo] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _exact(least: float, percent: int):
+    """Links between components that a tile's full sets confirm, as a forest: fewer rows than the tile has members."""
 
+    def run(batches):
+        a, b = [], []
+        for r in _runs(batches):
+            if r.comp.min() == r.comp.max():
+                continue
+            common = np.array([len(s) for s in r.common])
+            ok = np.concatenate([x for _, x in _pairs_of(r, least, percent, common)])
+            at = np.flatnonzero(ok.any(1))
+            if not len(at):
+                continue
+            n = _shared([r.common[i] for i in at])
+            link = ok[np.ix_(at, at)] & (100 * n >= percent * (r.size[at][:, None] + r.size[at][None, :] - n)) & (n > 0)
+            comp = r.comp[at]
+            link |= comp[:, None] == comp[None, :]
+            low = comp.copy()
+            while True:
+                new = np.where(link, low[None, :], low[:, None]).min(1)
+                if (new == low).all():
+                    break
+                low = new
+            pairs = np.unique(np.stack([comp, low])[:, comp != low], axis=1)
+            a.append(pairs[0])
+            b.append(pairs[1])
+        yield _batch("a long, b long", a, b)
 
-def _common(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, common: how many shingles of each of texts (doc_id, comp, text) another component has as well. Links
-    between components can only consist of these, which bounds a pair's similarity without looking at the pair."""
+    return run
 
-    def run(batches):
-        for batch in batches:
-            sets = [as_long(s) for _, s in shingle_sets(batch.column(2), k)]
-            n = [len(s) for s in sets]
-            at = np.repeat(np.arange(len(n)), n)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[at]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[at])], names=["shingle", "doc_id", "comp"])
 
-    rows = cut(texts.select("doc_id", "comp", "text").mapInArrow(run, "shingle long, doc_id long, comp long"), "shingles")
-    held = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
-    return rows.join(held, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("common"))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Adds tile and side to rows (key, head, comp and more), of buckets that hold different components only.
+
+    A bucket of at most BLOCK rows is one tile. A larger one is cut into blocks by hash: members of its most frequent
+    component need no comparison with each other, so blocks of them meet blocks of the others, and those meet among
+    themselves. A tile holds two blocks, about, whatever the bucket's size."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_keys = per.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("comps > 1").drop("comps")
+    df = rows.join(open_keys, "key")
+    hashed = F.xxhash64("head", "key")
+    m, s = F.ceil(F.col("most") / BLOCK), F.ceil((F.col("n") - F.col("most")) / BLOCK)
+    of_main, of_rest = F.pmod(hashed, m), F.pmod(hashed, s)
+    name = lambda *c: F.xxhash64("key", *c)
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda tile, side: F.struct(tile.alias("tile"), side.cast("long").alias("side"))
+    whole = F.array(place(name(F.lit(0)), F.lit(-1)))
+    main = F.transform(to(s), lambda j: place(name(F.lit(1), of_main, j), F.lit(0)))
+    rest = F.transform(to(m), lambda i: place(name(F.lit(1), i, of_rest), F.lit(1)))
+    inner = F.transform(to(s), lambda j: place(name(F.lit(2), F.least(of_rest, j), F.greatest(of_rest, j)), F.when(of_rest == j, F.lit(-1)).otherwise((of_rest > j).cast("int"))))
+    places = F.when(F.col("n") <= BLOCK, whole).when(F.col("comp") == F.col("main"), main).otherwise(F.concat(rest, inner))
+    return df.withColumn("at", F.explode(places)).select("at.tile", "head", "comp", "size", "at.side", *(c for c in rows.columns if c not in ("key", "head", "comp", "size")))
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    # no fixed number of partitions: small stages are merged, so they write few files
+    return rows.repartition("tile").sortWithinPartitions("tile")
 
 
-def _fine(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, sig: signatures of FINE_PERMS minima."""
+def _texts(docs: DataFrame, k: int) -> DataFrame:
+    """head, comp, which, size, shingle: the sets of texts (head, comp, text); which tells texts of one id apart."""
 
     def run(batches):
         for batch in batches:
-            sig = []
-            sets = [s for _, s in shingle_sets(batch.column(1), k)]
-            for i in range(0, len(sets), 64):
-                sig += [x.tobytes() for x in packed(minima(sets[i : i + 64], FINE_PERMS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], names=["doc_id", "sig"])
+            sets = [as_long(s) for _, s in shingle_sets(batch.column(2), k)]
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            flat = np.concatenate([np.zeros(0, np.int64), *sets])
+            which = np.array([int(as_long(mix(s.view(np.uint64), 1).sum(dtype=np.uint64, keepdims=True))[0]) for s in sets], np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
+            ids, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], comp[at], which[at], size[at], flat)], names=["head", "comp", "which", "size", "shingle"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary")
+    return docs.select("head", "comp", "text").mapInArrow(run, "head long, comp long, which long, size long, shingle long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _confirm(parents: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (a, b) of parents, one an a, whose full sets have 100 * intersection >= percent * union. A b of many a is dealt
+    over SALTS tasks, so its text is read that often at most."""
+    parents = parents.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    need = parents.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).cast("long").alias("role"))
+    need = need.unionByName(parents.groupBy("b", "salt").agg(F.lit(0).cast("long").alias("role")).withColumn("doc_id", F.col("b")))
+    rows = docs.select("doc_id", "text").join(need, "doc_id").select("b", "salt", "role", "doc_id", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
 
     def run(batches):
+        at, first = None, []
         for batch in batches:
-            keep = []
-            for (_, x), (_, y) in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            b, salt, role, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keep_a, keep_b = [], []
+            for i, s in shingle_sets(batch.column(4), k):
+                if at != (b[i], salt[i]):
+                    at, first = (b[i], salt[i]), []
+                if role[i] == 0:
+                    first.append(s)
+                    continue
+                n = [len(np.intersect1d(s, f, assume_unique=True)) for f in first]
+                if any(100 * c >= percent * (len(s) + len(f) - c) and c for c, f in zip(n, first, strict=True)):
+                    keep_a.append(ids[i])
+                    keep_b.append(b[i])
+            yield _batch("a long, b long", [keep_a], [keep_b])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -327,69 +364,65 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
 
     Words are runs of bytes other than white space, A-Z lower-cased; a set holds the distinct runs of k words, or
     the whole sequence if it is shorter. Null or wordless texts have an empty set and stand alone. Equal sets share a
-    component. Rows with a null doc_id are kept out of links and get a null component. Rows that repeat a doc_id
-    all get that id's component; their texts are assumed equal. Extra columns are ignored. An empty table gives no rows."""
+    component. Rows with a null doc_id are kept out of links; their component is that of an equal set, or null. Rows that
+    repeat a doc_id are one document: what one of its texts links with, all of them do, but an empty text. Extra columns
+    are ignored. An empty table gives no rows."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    of_set = ["set_a", "set_b", "n_shingles"]
     sets = cut(signatures(docs, k), "sets")
     full = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    heads = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    heads = cut(heads, "heads")
-    reps = full.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select(F.explode("keys").alias("key"), "doc_id", *(F.lit(0).cast("long").alias(c) for c in ("x", "y", "z")))
+    heads = cut(full.groupBy(*of_set).agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "heads")
     least = percent / 100 - MARGIN
-    # no fixed number of partitions: small stages are merged, so they write few files
-    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "doc_id")
-
-    # buckets of two sets or more; single ones are most of the rows and end here
-    buckets = cut(by_key(rows).mapInArrow(_shared, "key long, doc_id long"), "buckets")
-    in_buckets = buckets.select("doc_id").distinct()
-    signed = cut(reps.join(in_buckets, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "keys"), "signed")
-    buckets = cut(buckets.join(signed, "doc_id").select("key", "doc_id", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("size"), F.col("n_shingles").alias("common"), "sig"), "signed")
-    best = by_key(buckets).mapInArrow(_best(least, percent), PAIRS)
-    best = best.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    first = cut(_confirm(cut(best, "best"), docs, k, percent), "links")
-    comp = components(first)
-
-    def mix_of(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-        """Buckets that still hold two components, with the components of now."""
-        now = buckets.drop("comp").join(comp.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        return cut(now.join(open_keys, "key", "left_semi").select(*buckets.columns), "mixed")
-
-    # each round joins every component to another by the best pair of each of its sets, while that finds links
-    mixed, links = mix_of(buckets, comp), first
-    for turn in range(ROUNDS):
-        near = by_key(mixed).mapInArrow(_across(least, percent, False), PAIRS)
-        near = cut(near.select("a", "b", "est").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "est")).groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "near")
-        if turn == 0:
-            # how many shingles of each open set other components of open sets hold: only those can make a link
-            of = mixed.groupBy("doc_id").agg(F.first("comp").alias("comp"))
-            open_sets = near.select(F.col("a").alias("doc_id")).join(of, "doc_id")
-            texts = cut(docs.select("doc_id", "text").join(open_sets, "doc_id").dropDuplicates(["doc_id"]), "texts")
-            mixed = cut(mixed.drop("common", "sig").join(_common(texts, k), "doc_id").join(_fine(texts, k), "doc_id").select(*buckets.columns), "mixed")
-            least = percent / 100 - FINE_MARGIN
-        more = cut(_confirm(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), docs, k, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        comp = components(links)
-        mixed = mix_of(mixed, comp)
-    mixed = mixed.join(signed.select("doc_id", "keys"), "doc_id").select(*buckets.columns, "keys")
-    rest = by_key(mixed).mapInArrow(_across(least, percent, True), PAIRS).select("a", "b").distinct()
-    last = _confirm(cut(rest, "rest"), docs, k, percent)
-    comp = components(cut(links.unionByName(last), "links"))
-
-    named = heads.join(comp.select(F.col("node").alias("head"), "comp"), "head", "left").select("head", "set_a", "set_b", "n_shingles", F.coalesce("comp", "head").alias("component_id"), "copies")
+
+    # buckets of two sets or more, counted before any is brought together; those that hold more than a block are cut
+    rows = heads.select(F.explode("keys").alias("key"), "head")
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("head").alias("low")).filter("n > 1"), "key")
+    buckets = cut(shared.join(heads.select("head", F.col("n_shingles").alias("size"), "sig"), "head").select("key", "head", "size", "sig", "n", "low"), "buckets")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    # the smallest id of a bucket stands in all of its blocks
+    block = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).when(F.col("head") == F.col("low"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("head", "key"), blocks)))
+    dealt = buckets.withColumn("block", F.explode(block)).select(F.xxhash64("key", "block").alias("tile"), "head", F.col("head").alias("comp"), "size", F.lit(-1).cast("long").alias("side"), "sig")
+    best = _by_tile(dealt).mapInArrow(_best(least, percent), PAIRS).groupBy("a").agg(F.coalesce(F.min(F.when(F.col("est") >= SURE, F.col("b"))), F.max_by("b", "est")).alias("b"))
+    best = cut(best, "best")
+    first = cut(roots(_confirm(best, docs, k, percent).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))), "labels")
+    forget(best)
+
+    # what may still link: sets of different components that share a bucket and are alike by estimate ...
+    named = F.coalesce("comp", "head").alias("comp")
+    known = buckets.drop("n", "low").join(first.withColumnRenamed("node", "head"), "head", "left").select("key", "head", named, "size", "sig")
+    known = cut(known, "known")
+    forget(buckets)
+    left = cut(_by_tile(_tiles(known)).mapInArrow(_open(least, percent), OPEN).distinct(), "open")
+    # ... and of whose shingles the others hold enough: a link between components can only consist of these
+    flat = cut(_texts(docs.join(left.withColumnRenamed("head", "doc_id"), "doc_id").select(F.col("doc_id").alias("head"), "comp", "text"), k), "shingles")
+    others = flat.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
+    flat_common = flat.join(others, "shingle", "left_semi").groupBy("head", "which", "size").agg(F.collect_list("shingle").alias("common"))
+    rest = cut(flat_common.filter(100 * F.size("common") >= percent * F.col("size")).select("head", "size", "common"), "rest")
+    forget(left, flat)
+    exact = known.drop("size").join(rest, "head").select("key", "head", "comp", "size", "sig", "common")
+    links = _by_tile(_tiles(exact)).select("tile", "head", "comp", "size", "side", "sig", "common").mapInArrow(_exact(least, percent), "a long, b long")
+    links = cut(links.unionByName(_repeated(sets, heads, first, of_set)), "links")
+    forget(known, rest)
+
+    second = labels(links)
+    forget(links)
+    final = salted_join(first, second.select(F.col("node").alias("comp"), F.col("comp").alias("top")), ["comp"]).select("node", F.coalesce("top", "comp").alias("comp"))
+    final = final.unionByName(second)
+    names = heads.select(*of_set, "head", "copies").join(final.withColumnRenamed("node", "head"), "head", "left").withColumn("component_id", F.coalesce("comp", "head"))
     # a set that stands alone is its own component; only the others carry news
-    news = named.filter((F.col("copies") > 1) | (F.col("component_id") != F.col("head"))).drop("copies", "head")
-    out = _salted(sets.select("doc_id", "n_shingles", "set_a", "set_b"), news)
+    news = names.filter((F.col("copies") > 1) | (F.col("component_id") != F.col("head"))).select(*of_set, "component_id").groupBy(*of_set).agg(F.min("component_id").alias("component_id"))
+    out = salted_join(sets.select("doc_id", *of_set), news, of_set, salts=16)
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _salted(rows: DataFrame, news: DataFrame, salts: int = 16) -> DataFrame:
-    """Left join on the set, dealt over salts, so that a set of very many copies does not land in one task."""
-    salted = news.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["set_a", "set_b", "n_shingles", "salt"], "left")
+def _repeated(sets: DataFrame, heads: DataFrame, first: DataFrame, of_set: list[str]) -> DataFrame:
+    """Links (a, b) between the components of the sets of one doc_id that several rows have."""
+    full = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    rows = full.select("doc_id", *of_set).join(several, "doc_id", "left_semi").join(heads.select(*of_set, "head"), of_set)
+    rows = rows.join(first.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("comp", "head").alias("comp"))
+    low = rows.groupBy("doc_id").agg(F.min("comp").alias("b"))
+    return rows.join(low, "doc_id").select(F.col("comp").alias("a"), "b").filter("a <> b").distinct()

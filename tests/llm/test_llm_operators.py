@@ -53,6 +53,57 @@ def test_minhash_odd_rows(spark):
     assert minhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_minhash_repeated_ids_link_by_any_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (2, a.upper()), (9, b + " more"), (9, c), (7, c), (8, "apart"), (5, None)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if k[1]} == {(5, 37): 2, (2, 37): 2, (9, 38): 2, (9, 37): 2, (7, 37): 2, (8, 1): 8} and got[5, 0] == 5
+
+
+def test_minhash_small_blocks_lose_nothing(spark, near_rows, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    rng = random.Random(8)
+    base = prose(rng, 60).split()
+    chain = []
+    for i in range(60):
+        base = list(base)
+        base[i] = f"c{i}"
+        chain.append((1000 + i, " ".join(base)))
+    rows = near_rows + chain
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute.near(rows)
+
+
+def test_minhash_tiles_bring_all_components_together(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    for comps in ([0] * 70 + [1] * 30 + list(range(2, 30)), list(range(60)), [0] * 50 + [1], [3, 3, 4]):
+        rows = [(7, i, c, 10, b"x") for i, c in enumerate(comps)] + [(8, i, 1, 10, b"x") for i in range(40)]
+        got = minhash_dedup._tiles(spark.createDataFrame(rows, "key long, head long, comp long, size long, sig binary")).collect()
+        tiles = {}
+        for r in got:
+            tiles.setdefault(r.tile, []).append((r["head"], r["side"]))
+        assert max(map(len, tiles.values())) <= 40
+        met = {(a, b) for t in tiles.values() for a, x in t for b, y in t if x != y or x < 0}
+        assert all((a, b) in met for a, x in enumerate(comps) for b, y in enumerate(comps) if x != y)
+
+
+def test_minhash_bucket_of_many_unlike_sets(spark):
+    """20,000 sets of which each two are 75 % alike: no link, and no task gets more than a tile at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 63, 12, dtype=np.int64)
+    sig = minhash_dedup.packed(minhash_dedup.minima([common.view(np.uint64)]))[0].tobytes()
+    rows = [(7, i, i, 14, sig, [*common.tolist(), -2 * i - 1, -2 * i - 2]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "key long, head long, comp long, size long, sig binary, common array<long>").repartition(8)
+    tiles = minhash_dedup._by_tile(minhash_dedup._tiles(df)).select("tile", "head", "comp", "size", "side", "sig", "common")
+    assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] < 3 * minhash_dedup.BLOCK
+    few = tiles.filter(F.pmod("tile", F.lit(20)) == 0)  # a twentieth of the tiles, for time
+    assert few.mapInArrow(minhash_dedup._exact(0.59, 80), "a long, b long").count() == 0
+    linked = few.mapInArrow(minhash_dedup._exact(0.59, 75), "a long, b long")
+    assert 0 < linked.count() < few.count()
+
+
 def test_minhash_estimate():
     import numpy as np
 
