@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +39,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, every shared path that was made within, but those taken out of the list that it gives."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+        for path in made:
+            remove(spark, path)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -52,7 +80,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def forget(*tables: DataFrame) -> None:
     """Removes the files of tables that cut() made and that nothing will read again; other tables are left alone."""
     for t in tables:
-        if path := getattr(t, "cut_path", None):
+        if path := vars(t).get("cut_path"):
             remove(t.sparkSession, path)
 
 
@@ -63,6 +91,33 @@ def salted_join(rows: DataFrame, small: DataFrame, on: list[str], how: str = "le
     return rows.withColumn("salt", dealt).join(salted, [*on, "salt"], how).drop("salt")
 
 
+#: Bits of the filter that only() broadcasts: 16 MB, whatever the number of ids.
+FILTER_BITS = 1 << 27
+
+
+def only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of docs (doc_id long, text and more) whose doc_id is surely none of ids (doc_id) are left out, before a join
+    has to move their texts; some others may stay. The filter is a bitmap of a fixed size: if there are many more ids
+    than bits it leaves everything in, which costs time only."""
+    spark, part = docs.sparkSession, 1 << 15
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = ids.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / part).alias("part")).agg(F.bitmap_construct_agg(F.col("cell") % part).alias("bits")).collect()
+    held = np.zeros((bits // part, part // 8), np.uint8)
+    for r in rows:
+        held[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(held.reshape(-1))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if hit.any():
+                yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(hit))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return docs.filter("doc_id IS NOT NULL").select(cell.alias("_cell"), *docs.columns).mapInArrow(run, schema)
+
+
 def id_crc(col: Column) -> Column:
     """crc32 of an id written as text, unsigned."""
     return F.crc32(col.cast("string").cast("binary"))
@@ -76,10 +131,7 @@ def spread(seed: int, *cols: Column) -> Column:
 def bounded_sample(labelled: DataFrame, label: str, per_class: int, seed: int = 7) -> DataFrame:
     """About per_class rows of each label value (all of a rarer one), chosen by a seeded hash of doc_id.
 
-    One count per class reaches the driver; rows are then kept by a threshold on their hash, so no class is
-    gathered into one task. The expected size is classes x per_class, a documented bound of the fit."""
-    counts = labelled.groupBy(label).count().collect()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(label) == F.lit(row[label]), F.lit(min(1.0, per_class / row["count"]))).otherwise(share)
-    return labelled.filter(spread(seed, F.col("doc_id")) < share)
+    Counts of the classes are joined to the rows, which are then kept by a threshold on their hash, so nothing reaches the
+    driver and no class is gathered into one task. The expected size is classes x per_class, a documented bound of the fit."""
+    counts = cut(labelled.groupBy(label).agg(F.count("*").alias("_n")), "classes")
+    return labelled.join(counts, label).filter(spread(seed, F.col("doc_id")) * F.col("_n") < per_class).select(labelled.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, forget, salted_join, tune
+from tessera.llm.common import cut, forget, only, salted_join, tune
 from tessera.llm.components import labels, roots
 from tessera.llm.words import LOWER, as_long, chunks, column_bytes, mix
 
@@ -35,7 +35,7 @@ BLOCK = 1024
 SURE = 0.9
 #: Tasks that hold the partners of one set, at most.
 SALTS = 32
-PAIRS, OPEN = "a long, b long, est double", "head long, comp long"
+PAIRS, OPEN = "a long, b long, est double", "tile long, head long, comp long, side long, sig binary"
 
 _rng = np.random.default_rng(20240229)
 MULT = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
@@ -219,19 +219,18 @@ def _pairs_of(r: Run, least: float, percent: int, common: np.ndarray):
 
 
 def _open(least: float, percent: int):
-    """The members of a tile that may link with one of another component, by estimate and sizes: a row each at most."""
+    """The members of a tile that may link with one of another component, by estimate and sizes, under a new name of
+    the tile: equal members, equal name, as sets that are alike share many buckets."""
+    names = [c.split()[0] for c in OPEN.split(", ")]
 
     def run(batches):
-        ids, comp = [], []
         for r in _runs(batches):
             if r.comp.min() < r.comp.max():
-                hit = np.concatenate([ok.any(1) for _, ok in _pairs_of(r, least, percent, r.size)])
-                ids.append(r.ids[hit])
-                comp.append(r.comp[hit])
-            if sum(map(len, ids)) > 20_000:
-                yield _batch(OPEN, ids, comp)
-                ids, comp = [], []
-        yield _batch(OPEN, ids, comp)
+                hit = np.flatnonzero(np.concatenate([ok.any(1) for _, ok in _pairs_of(r, least, percent, r.size)]))
+                each = mix(r.ids[hit].view(np.uint64) ^ mix(r.side[hit].view(np.uint64), 3), 4)
+                tile = as_long(np.full(len(hit), each.sum(dtype=np.uint64)))
+                cols = [pa.array(x) for x in (tile, r.ids[hit], r.comp[hit], r.side[hit])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in r.sig[hit]], pa.binary())], names=names)
 
     return run
 
@@ -311,22 +310,34 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 
 def _by_tile(rows: DataFrame) -> DataFrame:
-    # no fixed number of partitions: small stages are merged, so they write few files
-    return rows.repartition("tile").sortWithinPartitions("tile")
+    # a fixed number of partitions, as time goes into comparisons, which the rows' bytes don't tell
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "tile").sortWithinPartitions("tile")
 
 
 def _texts(docs: DataFrame, k: int) -> DataFrame:
     """head, comp, which, size, shingle: the sets of texts (head, comp, text); which tells texts of one id apart."""
 
+    def rows(ids, comp, found):
+        at = np.repeat([i for i, _ in found], [len(s) for _, s in found])
+        which = np.repeat(np.array([as_long(mix(s, 1).sum(dtype=np.uint64, keepdims=True))[0] for _, s in found], np.int64), [len(s) for _, s in found])
+        size = np.repeat([len(s) for _, s in found], [len(s) for _, s in found])
+        flat = as_long(np.concatenate([s for _, s in found]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], comp[at], which, size, flat)], names=["head", "comp", "which", "size", "shingle"])
+
     def run(batches):
         for batch in batches:
-            sets = [as_long(s) for _, s in shingle_sets(batch.column(2), k)]
-            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            flat = np.concatenate([np.zeros(0, np.int64), *sets])
-            which = np.array([int(as_long(mix(s.view(np.uint64), 1).sum(dtype=np.uint64, keepdims=True))[0]) for s in sets], np.int64)
-            size = np.array([len(s) for s in sets], np.int64)
             ids, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], comp[at], which[at], size[at], flat)], names=["head", "comp", "which", "size", "shingle"])
+            found, total = [], 0
+            for i, s in shingle_sets(batch.column(2), k):
+                if len(s):
+                    found.append((i, s))
+                    total += len(s)
+                if total > 100_000:
+                    yield rows(ids, comp, found)
+                    found, total = [], 0
+            if found:
+                yield rows(ids, comp, found)
 
     return docs.select("head", "comp", "text").mapInArrow(run, "head long, comp long, which long, size long, shingle long")
 
@@ -337,7 +348,7 @@ def _confirm(parents: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     parents = parents.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
     need = parents.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).cast("long").alias("role"))
     need = need.unionByName(parents.groupBy("b", "salt").agg(F.lit(0).cast("long").alias("role")).withColumn("doc_id", F.col("b")))
-    rows = docs.select("doc_id", "text").join(need, "doc_id").select("b", "salt", "role", "doc_id", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+    rows = only(docs.select("doc_id", "text"), need.select("doc_id")).join(need, "doc_id").select("b", "salt", "role", "doc_id", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
 
     def run(batches):
         at, first = None, []
@@ -394,17 +405,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     known = buckets.drop("n", "low").join(first.withColumnRenamed("node", "head"), "head", "left").select("key", "head", named, "size", "sig")
     known = cut(known, "known")
     forget(buckets)
-    left = cut(_by_tile(_tiles(known)).mapInArrow(_open(least, percent), OPEN).distinct(), "open")
+    met = cut(_by_tile(_tiles(known)).mapInArrow(_open(least, percent), OPEN).distinct(), "met")
+    forget(known)
+    left = cut(met.select(F.col("head").alias("doc_id"), "comp").distinct(), "open")
     # ... and of whose shingles the others hold enough: a link between components can only consist of these
-    flat = cut(_texts(docs.join(left.withColumnRenamed("head", "doc_id"), "doc_id").select(F.col("doc_id").alias("head"), "comp", "text"), k), "shingles")
+    texts = only(docs, left).join(left, "doc_id").select(F.col("doc_id").alias("head"), "comp", "text")
+    flat = cut(_texts(texts, k), "shingles")
     others = flat.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
-    flat_common = flat.join(others, "shingle", "left_semi").groupBy("head", "which", "size").agg(F.collect_list("shingle").alias("common"))
-    rest = cut(flat_common.filter(100 * F.size("common") >= percent * F.col("size")).select("head", "size", "common"), "rest")
+    common = flat.join(others, "shingle", "left_semi").groupBy("head", "which", "size").agg(F.collect_list("shingle").alias("common"))
+    rest = cut(common.filter(100 * F.size("common") >= percent * F.col("size")).select("head", "size", "common"), "rest")
     forget(left, flat)
-    exact = known.drop("size").join(rest, "head").select("key", "head", "comp", "size", "sig", "common")
-    links = _by_tile(_tiles(exact)).select("tile", "head", "comp", "size", "side", "sig", "common").mapInArrow(_exact(least, percent), "a long, b long")
+    links = _by_tile(met.join(rest, "head").select("tile", "head", "comp", "size", "side", "sig", "common")).mapInArrow(_exact(least, percent), "a long, b long")
     links = cut(links.unionByName(_repeated(sets, heads, first, of_set)), "links")
-    forget(known, rest)
+    forget(met, rest)
 
     second = labels(links)
     forget(links)
