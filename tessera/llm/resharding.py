@@ -18,10 +18,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir
+from tessera.llm.common import cut, forget, shared_path
 
 #: Rows of a sub-block, about.
 SUB_ROWS = 20_000
+#: Bytes of text in a rewritten file, about, at scale.
+FILE_BYTES = 32 << 20
 
 
 class Move(NamedTuple):
@@ -117,7 +119,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, keep: tuple[st
     has none, and the checksum of nothing. Row counts of shards differ by one at most (law `rows`), also with fewer rows
     than shards; slots run gapless from 0. Rows that repeat a doc_id are separate rows; which of equal rows gets which
     slot is open. Equal texts may part. An empty table gives no rows. Extra columns are ignored unless kept."""
-    out = _placed(cut(_rows(docs, old_shard, keep), "rows"), shards)[0]
+    out = _placed(cut(_rows(docs, old_shard, keep), "rows"), shards)
     return out.select(*(F.col(c).alias(c.removeprefix("kept_")) for c in out.columns))
 
 
@@ -132,8 +134,8 @@ def _rows(docs: DataFrame, old_shard: Column, keep: tuple[str, ...]) -> DataFram
     return rows.withColumn("kind", F.length(F.bin("size")))
 
 
-def _placed(rows: DataFrame, shards: int) -> tuple[DataFrame, list[Move]]:
-    """The result of reshard(), kept columns under kept_ and their names, and its moves. rows are read more than once, so they need to be in files."""
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """The result of reshard(), kept columns under kept_ and their names. rows are read more than once, so they need to be in files."""
     blocks = rows.groupBy("old_shard", "kind").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     moves, _ = solve([tuple(b) for b in blocks], shards)
     # numbered from the largest row down, so that the rows that stay, which come first, are the largest
@@ -156,30 +158,70 @@ def _placed(rows: DataFrame, shards: int) -> tuple[DataFrame, list[Move]]:
     part = F.filter("parts", lambda x: (x["lo"] <= F.col("place")) & (F.col("place") < x["hi"]))[0]
     out = out.withColumn("part", part)
     out = out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("part.to").alias("shard"), (F.col("part.slot") + F.col("place") - F.col("part.lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("part.to")).alias("moved"), *(c for c in rows.columns if c.startswith("kept_")))
-    return out, moves
+    return out
 
 
-def rewrite_files(docs: DataFrame, path: str, old_shard: Column, shards: int = 24) -> list[int]:
-    """Brings a table of folders shard=N under path, which holds docs, to the new layout; writes only folders of shards
+def _cuts(rows: DataFrame, moves: list[Move], subs: int) -> list[tuple[tuple[int, int], tuple, int]]:
+    """(block, smallest key, shard) of every part of a block, in order: where it starts, and where it goes.
+
+    Only the cells (equal size, equal hash) that a part starts in are ordered, some SUB_ROWS rows each; one row a part
+    reaches the driver, so no more than blocks and shards together."""
+    spark, keys = rows.sparkSession, ["old_shard", "kind", "size", "sub"]
+    before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).count()
+    larger = counts.groupBy("old_shard", "kind", "size").agg(F.sum("count").alias("all"))
+    larger = larger.select("old_shard", "kind", "size", F.coalesce(F.sum("all").over(before("old_shard", "kind").orderBy(F.desc("size"))), F.lit(0)).alias("larger"))
+    ahead = counts.select(*keys, "count", F.coalesce(F.sum("count").over(before("old_shard", "kind", "size").orderBy("sub")), F.lit(0)).alias("ahead"))
+    ahead = ahead.join(larger, ["old_shard", "kind", "size"]).select(*keys, "count", (F.col("ahead") + F.col("larger")).alias("ahead"))
+    wanted = spark.createDataFrame([(m.old, m.kind, m.lo) for m in moves if m.lo], "old_shard int, kind int, lo long")
+    cells = ahead.join(F.broadcast(wanted), ["old_shard", "kind"]).filter("ahead <= lo AND lo < ahead + count").select(*keys, "lo", (F.col("lo") - F.col("ahead")).alias("nth"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "lo").orderBy("doc_id", "text_crc32", "file", "at")) - 1
+    found = rows.join(F.broadcast(cells), keys).withColumn("n", nth).filter("n = nth").collect()
+    start = {(r.old_shard, r.kind, r.lo): (-r["size"], r["sub"], r.doc_id, r.text_crc32, r.file, r.at) for r in found}
+    return [((m.old, m.kind), start[m.old, m.kind, m.lo] if m.lo else (-(1 << 62), 0, None, 0, "", 0), m.shard) for m in moves]
+
+
+def rewrite_files(docs: DataFrame, path: str, shards: int = 24) -> list[int]:
+    """Brings a table of folders shard=N under path, which docs reads, to the new layout; writes only folders of shards
     that lose or gain rows, and returns their numbers. A folder that loses all rows goes.
 
-    docs must be the files under path as read. All new folders are written beside path first, in one pass, and then take
-    the places of the old ones one by one."""
+    Rows are ordered within a block by size, hash, id and place in the files; the flow's parts of a block are ranges of that
+    order, so a row's new shard follows from comparisons with the ranges' starts, and texts are read and written but
+    not shuffled. All new folders are written beside path first, in one pass, and then take the places of the old ones one
+    by one."""
     spark = docs.sparkSession
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "shard"))
-    placed, moves = _placed(_rows(docs, old_shard, keep), shards)
+    at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")]
+    old = F.coalesce(F.col("shard").cast("int"), F.lit(0))
+    narrow = cut(docs.select("doc_id", *_measured(), old.alias("old_shard"), *at).withColumn("kind", F.length(F.bin("size"))), "rows")
+    blocks = narrow.groupBy("old_shard", "kind").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
+    moves, _ = solve([tuple(b) for b in blocks], shards)
     touched = sorted({s for m in moves if m.old != m.shard for s in (m.old, m.shard)})
     if not touched:
+        forget(narrow)
         return touched
+    subs = max(64, max(b["rows"] for b in blocks) // SUB_ROWS)
+    sub = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs))
+    parts: dict[tuple[int, int], list] = {}
+    for block, key, shard in _cuts(narrow.withColumn("sub", sub), moves, subs):
+        parts.setdefault(block, []).append((*key, shard))
+    forget(narrow)
+    plan = spark.createDataFrame([(*k, v) for k, v in parts.items()], "_old int, _kind int, _parts array<struct<less: long, sub: long, doc_id: long, crc: long, file: string, at: long, to: int>>")
+    size, crc = _measured()
+    rows = docs.select("*", old.alias("_old"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"), size.alias("_size"), crc.alias("_crc"))
+    rows = rows.withColumn("_kind", F.length(F.bin("_size"))).join(F.broadcast(plan), ["_old", "_kind"])
+    own = F.struct((-F.col("_size")).alias("less"), F.pmod(F.xxhash64("doc_id", "_crc"), F.lit(subs)).cast("long").alias("sub"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_crc").alias("crc"), F.col("_file").alias("file"), F.col("_at").alias("at"))
+    mine = F.filter("_parts", lambda p: F.struct(*(p[c].alias(c) for c in ("less", "sub", "doc_id", "crc", "file", "at"))) <= own)
+    rows = rows.withColumn("shard", F.element_at(mine, -1)["to"]).select(*docs.columns).filter(F.col("shard").isin(touched))
+    # each task writes a file a shard, so a task reads as much as makes files of FILE_BYTES
+    tasks = max(2 * spark.sparkContext.defaultParallelism, sum(b["bytes"] for b in blocks) // (shards * FILE_BYTES))
     fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows = placed.filter(F.col("shard").isin(touched)).sortWithinPartitions("shard", "slot")
-    rows.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "shard").write.partitionBy("shard").parquet(fresh)
+    rows.coalesce(tasks).write.partitionBy("shard").parquet(fresh)
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for s in touched:
-        old, new = at(f"{path}/shard={s}"), at(f"{fresh}/shard={s}")
-        fs.delete(old, True)
-        if fs.exists(new) and not fs.rename(new, old):
+        was, new = at(f"{path}/shard={s}"), at(f"{fresh}/shard={s}")
+        fs.delete(was, True)
+        if fs.exists(new) and not fs.rename(new, was):
             raise OSError(f"{new.toString()} can't be renamed")
     fs.delete(at(fresh), True)
     return touched
@@ -199,11 +241,11 @@ def through_files(docs: DataFrame, old_shard: Column, shards: int = 24) -> DataF
     """The columns of reshard(), taken from files: docs are laid out in folders by old_shard (an expression over docs that
     gives the same for a row at any time) in the shared folder, brought to the new layout and read back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = shared_path(spark, "shards")
     docs = docs.drop("shard", "slot")
     old = F.coalesce(old_shard.cast("int"), F.lit(0))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
-    rewrite_files(spark.read.schema(f"{schema}, shard int").parquet(path), path, F.col("shard"), shards)
+    rewrite_files(spark.read.schema(f"{schema}, shard int").parquet(path), path, shards)
     out = read_layout(spark, path, schema).withColumn("old_shard", old)
     return out.select("doc_id", *_measured(), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"))
