@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import combinations
+from bisect import bisect_left
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +21,25 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, tune
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: What stands left of an address's @, and right of it.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: A match starts where a run of digits does, as the run's other places have the same to their right.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Looser than the strict ones: spelled-out addresses, octets in brackets, cards by other separators, national numbers.
+#: Looser than the strict ones: octets in brackets, cards by other separators, national numbers; of bounded lengths.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[ ./_-]?[0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9]|\.[0-9])"),
 }
 #: What a loose match of a kind must hold; much cheaper to look for.
-HINT = {"email": re.compile(r"[\[(](?:at)[\])]"), "ip": re.compile(r"\[\.\]"), "card": re.compile(r"[0-9]{4}[ ./_-]?[0-9]{4}"), "phone": re.compile(r"[0-9]{3}[-. ][0-9]{4}")}
+HINT = {"ip": re.compile(r"\[\.\]"), "card": re.compile(r"[0-9]{4}[ ./_-]?[0-9]{4}"), "phone": re.compile(r"[0-9]{3}[-. ][0-9]{4}")}
+#: Spelled-out addresses.
+AT = re.compile(r"\[at\]|\(at\)")
+SPELLED = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+")
 #: Words that speak for a kind when they stand just before a span.
 CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write to|courriel|correo)\W*$"),
@@ -62,29 +68,43 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-_ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+def _run_start(text: str, end: int, least: int) -> int:
+    """Where the run of address characters begins that ends at end, at least at least."""
+    while end > least and text[end - 1] in LOCAL:
+        end -= 1
+    return end
 
 
 def _emails(text: str):
-    """The matches of EMAIL, looked for only in runs of its characters around an @."""
-    at, n, done = text.find("@"), len(text), 0
+    """Leftmost matches of an address: every @ is looked at once, with the run to its left and the domain to its right."""
+    at, done = text.find("@"), 0
     while at >= 0:
-        lo, hi = at, at
-        while lo > done and text[lo - 1] in _ADDRESS:
-            lo -= 1
-        while hi < n and text[hi] in _ADDRESS:
-            hi += 1
-        for m in EMAIL.finditer(text, lo, hi):
-            yield m.span()
-        done = hi
-        at = text.find("@", hi)
+        lo = _run_start(text, at, done)
+        m = DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            yield lo, m.end()
+            done = m.end()
+        at = text.find("@", m.end() if m else at + 1)
+
+
+def _spelled(text: str):
+    done = 0
+    for m in AT.finditer(text):
+        if m.start() < done:
+            continue
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        lo = _run_start(text, end, done)
+        tail = SPELLED.match(text, m.end()) if lo < end else None
+        if tail:
+            yield lo, tail.end()
+            done = tail.end()
 
 
 def strict(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of leftmost non-overlapping matches of each kind that pass its check, sorted."""
     out = [(a, 0, b) for a, b in _emails(text)]
     if text.count(".") >= 3:
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
@@ -95,7 +115,16 @@ def strict(text: str) -> list[tuple[int, int, int]]:
 
 def loose(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the loose patterns find."""
-    return sorted((m.start(), k, m.end()) for k, name in enumerate(KINDS) if HINT[name].search(text) for m in LOOSE[name].finditer(text))
+    out = [(a, 0, b) for a, b in _spelled(text)]
+    return sorted(out + [(m.start(), k, m.end()) for k, name in enumerate(KINDS) if name in LOOSE and HINT[name].search(text) for m in LOOSE[name].finditer(text)])
+
+
+def candidates(text: str) -> list[tuple[int, int, int, bool]]:
+    """(start, kind, end, strict) of the strict matches and of the loose ones that overlap none of them."""
+    base = strict(text)
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    free = [(a, k, b) for a, k, b in loose(text) if not (i := bisect_left(starts, b)) or ends[i - 1] <= a]
+    return [(*x, True) for x in base] + [(*x, False) for x in free]
 
 
 def votes(text: str, start: int, kind: int, end: int, is_strict: bool) -> int:
@@ -143,12 +172,7 @@ def _spans(batches):
         out = []
         for text in batch.column(1).to_pylist():
             text = text or ""
-            base = strict(text)
-            found = [{"start": a, "stop": b, "kind": k, "base": True, "votes": votes(text, a, k, b, True)} for a, k, b in base]
-            for a, k, b in loose(text):
-                if not any(x < b and a < y for x, _, y in base):
-                    found.append({"start": a, "stop": b, "kind": k, "base": False, "votes": votes(text, a, k, b, False)})
-            out.append(found)
+            out.append([{"start": a, "stop": b, "kind": k, "base": sure, "votes": votes(text, a, k, b, sure)} for a, k, b, sure in candidates(text)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind_of)], names=["doc_id", "spans"])
 
 
