@@ -1,8 +1,9 @@
 """Exact removal of repeated word windows behind a count-min prefilter (operator 10).
 
 First pass: every partition sketches how often its windows may occur, the sketches are merged in a tree, and the
-merged cells that say "twice or more" (a fixed number of bits) are broadcast. Second pass: only windows estimated as
-repeated are emitted and grouped exactly, so none is lost; a saturated sketch costs time, never results.
+merged cells that say "twice or more" are broadcast. Second pass: only windows estimated as repeated are emitted and
+grouped exactly, so none is lost; a full sketch costs time, never results. The sketch is sized by the bytes of the corpus
+up to a bound of memory; beyond it both passes are made several times, over ranges of the hash.
 
 To keep the sketch small against the corpus, a window is counted under its smallest GRAM-word run: equal windows hold
 it at the same offset, so at different places in the corpus, and its count can only overestimate the window's."""
@@ -12,18 +13,25 @@ from __future__ import annotations
 import hashlib
 import zlib
 from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tune
+from tessera.llm.common import cut, tune
 from tessera.llm.words import Words, as_long, chunks, mix, spans_hash
 
 GRAM = 8
-#: Rows of the sketch and cells in each; two bits a cell while merging, one when broadcast (8 MB a row).
-DEPTH, WIDTH, SEGMENTS = 2, 1 << 26, 256
+#: Rows of the sketch, and the parts that each is merged in.
+DEPTH, SEGMENTS = 2, 256
+#: Bytes of text for which a row has a cell; texts hold a smallest run in 40 bytes, so two cells for each.
+CELL_BYTES = 20
+#: Cells of a row, least and most: two bits a cell while merging, one when broadcast, so 128 MB for both rows at most.
+LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 29
+#: Passes over ranges of the hash, at most, where a row of MOST_WIDTH is too small for all runs.
+PASSES = 8
 #: Repeated windows held by a task before those it has seen earlier itself are set aside.
 HELD = 2_000_000
 LAST = (1 << 63) - 1
@@ -46,8 +54,28 @@ def window_minima(w: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
     return at, low[at], where[at]
 
 
-def cells(g: np.ndarray) -> list[np.ndarray]:
-    return [(mix(g, 11 + r) & np.uint64(WIDTH - 1)).astype(np.int64) for r in range(DEPTH)]
+class Plan(NamedTuple):
+    """Cells of a sketch row (a power of two), passes, and the pass that this is."""
+
+    width: int
+    passes: int
+    turn: int
+
+    def mine(self, g: np.ndarray) -> np.ndarray:
+        """Whether runs of these hashes belong to this pass."""
+        return (mix(g, 29) >> np.uint64(32)) % np.uint64(self.passes) == np.uint64(self.turn) if self.passes > 1 else np.ones(len(g), bool)
+
+    def cells(self, g: np.ndarray) -> list[np.ndarray]:
+        return [(mix(g, 11 + r) & np.uint64(self.width - 1)).astype(np.int64) for r in range(DEPTH)]
+
+
+def plans(size: int, least: int = LEAST_WIDTH, most: int = MOST_WIDTH, passes: int = PASSES) -> list[Plan]:
+    """The passes for `size` bytes of text. Beyond passes x most cells the sketch fills up: more windows reach the exact
+    pass, with the same result."""
+    want = max(1, size // CELL_BYTES)
+    width = min(most, max(least, 1 << (want - 1).bit_length()))
+    turns = min(passes, -(-want // width))
+    return [Plan(width, turns, i) for i in range(turns)]
 
 
 def _planes(once: np.ndarray, twice: np.ndarray, size: int) -> tuple[bytes, bytes]:
@@ -64,8 +92,8 @@ _SPARSE = b"s"
 _DENSE = b"d"
 
 
-def _sketch(size: int, fan: int):
-    span = WIDTH // SEGMENTS
+def _sketch(size: int, fan: int, plan: Plan):
+    span = plan.width // SEGMENTS
 
     def run(batches):
         from pyspark import TaskContext
@@ -77,7 +105,7 @@ def _sketch(size: int, fan: int):
             g = np.concatenate(found) if found else np.zeros(0, np.uint64)
             found.clear()
             out = []
-            for r, c in enumerate(cells(g)):
+            for r, c in enumerate(plan.cells(g)):
                 u, n = np.unique(c, return_counts=True)
                 bound = np.searchsorted(u, np.arange(SEGMENTS + 1) * span)
                 for s in range(SEGMENTS):
@@ -99,8 +127,9 @@ def _sketch(size: int, fan: int):
                 mark = np.zeros(len(h) + 1, bool)
                 mark[where] = True
                 p = np.flatnonzero(mark)
-                found.append(spans_hash(h, p, np.minimum(p + min(GRAM, size), len(h))))
-                total += len(p)
+                g = spans_hash(h, p, np.minimum(p + min(GRAM, size), len(h)))
+                found.append(g[plan.mine(g)])
+                total += len(found[-1])
             if total > 8_000_000:
                 yield emit()
                 total = 0
@@ -115,16 +144,16 @@ def _sketch_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["part", "cell_row", "segment", "once", "twice"])
 
 
-def _open(x: bytes) -> np.ndarray:
-    """The bits of one segment, eight to a byte."""
+def _open(x: bytes, span: int) -> np.ndarray:
+    """The bits of one segment of span cells, eight to a byte."""
     if x[:1] == _DENSE:
         return np.frombuffer(x, np.uint8, offset=1).copy()
-    bits = np.zeros(WIDTH // SEGMENTS, bool)
+    bits = np.zeros(span, bool)
     bits[np.frombuffer(x, np.uint32, offset=1)] = True
     return np.packbits(bits)
 
 
-def _merged(last: bool):
+def _merged(last: bool, span: int):
     """Merges sorted sketch rows of one key as a stream: two occurrences make "twice" also across partitions."""
 
     def run(batches):
@@ -136,7 +165,7 @@ def _merged(last: bool):
         for batch in batches:
             for p, r, s, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 k = (0 if last else p, r, s)
-                a, b = _open(once), _open(twice)
+                a, b = _open(once, span), _open(twice, span)
                 if k == key:
                     two |= b | (one & a)
                     one |= a
@@ -150,24 +179,27 @@ def _merged(last: bool):
     return run
 
 
-def repeated_cells(texts: DataFrame, size: int) -> np.ndarray:
-    """(DEPTH, WIDTH // 8) bytes: cells hit at least twice by the windows of all texts. Its size is fixed."""
-    rows = texts.mapInArrow(_sketch(size, 16), SKETCH)
+def repeated_cells(texts: DataFrame, size: int, plan: Plan) -> np.ndarray:
+    """(DEPTH, width // 8) bytes: cells hit at least twice by the windows of all texts, of one pass."""
+    span = plan.width // SEGMENTS
+    rows = texts.mapInArrow(_sketch(size, 16, plan), SKETCH)
     keys = ["part", "cell_row", "segment"]
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_merged(False), SKETCH)
-    rows = rows.repartition(n, *keys[1:]).sortWithinPartitions(*keys[1:]).mapInArrow(_merged(True), SKETCH)
-    out = np.zeros((DEPTH, SEGMENTS, WIDTH // SEGMENTS // 8), np.uint8)
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_merged(False, span), SKETCH)
+    rows = rows.repartition(n, *keys[1:]).sortWithinPartitions(*keys[1:]).mapInArrow(_merged(True, span), SKETCH)
+    out = np.zeros((DEPTH, SEGMENTS, span // 8), np.uint8)
     for r in rows.select("cell_row", "segment", "twice").toLocalIterator():
         out[r.cell_row, r.segment] = np.frombuffer(r.twice, np.uint8, offset=1)
     return out.reshape(DEPTH, -1)
 
 
-#: a and b: 96 bits of a window's hash; 10^12 windows share one with probability under 10^-5.
+#: What a byte counts in the second hash of a word.
+SECOND = np.random.default_rng(20240306).integers(0, 1 << 63, 256, dtype=np.uint64)
+#: a and b: 96 bits of a window's hashes, by two hashes of its words; 10^12 windows share one with probability under 10^-5.
 REPEATS = "a long, b int, doc_id long, start int, len int, sure boolean"
 
 
-def _candidates(size: int, sketch):
+def _candidates(size: int, sketch, plan: Plan):
     def run(batches):
         bits = sketch.value
         held: list[list[np.ndarray]] = []
@@ -206,12 +238,14 @@ def _candidates(size: int, sketch):
             for i, j, w in chunks(batch.column(1)):
                 h = w.hashes()
                 at, g, _ = window_minima(w, h, size)
-                hit = np.ones(len(at), bool)
-                for r, c in enumerate(cells(g)):
+                hit = plan.mine(g)
+                for r, c in enumerate(plan.cells(g)):
                     hit &= (bits[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
                 at = at[hit]
+                if not len(at):
+                    continue
                 d = w.doc[at]
-                held.append([spans_hash(h, at, at + size), (spans_hash(mix(h, 3), at, at + size) >> np.uint64(32)).astype(np.uint32), ids[i:j][d], (at - w.first[d]).astype(np.int32)])
+                held.append([spans_hash(h, at, at + size), (spans_hash(w.hashes(SECOND), at, at + size) >> np.uint64(32)).astype(np.uint32), ids[i:j][d], (at - w.first[d]).astype(np.int32)])
                 total += len(at)
             if total > HELD:
                 yield from flush()
@@ -285,8 +319,16 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = spark.sparkContext.broadcast(repeated_cells(docs.select("text"), size))
-    found = docs.mapInArrow(_candidates(size, sketch), REPEATS)
+    turns = plans(docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0)
+    found = None
+    for plan in turns:
+        sketch = spark.sparkContext.broadcast(repeated_cells(docs.select("text"), size, plan))
+        some = docs.mapInArrow(_candidates(size, sketch, plan), REPEATS)
+        if len(turns) > 1:
+            # passes in turn: one sketch lies in memory at a time
+            some = cut(some, "windows")
+            sketch.unpersist()
+        found = some if found is None else found.unionByName(some)
     place = F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "start"))
     gone = found.withColumn("place", place).filter(F.col("sure") | (F.col("place") > 1))
     rows = gone.select("doc_id", F.lit(0).alias("kind"), "start", "len", F.lit(None).cast("binary").alias("text"))
