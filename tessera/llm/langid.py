@@ -1,6 +1,7 @@
 """Language identification (operator 3): sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Counts of n-grams of one to three characters are hashed into TERMS buckets; document frequencies count all documents.
+Counts of n-grams of one to three characters are hashed into TERMS buckets; document frequencies count all documents
+that may be learnt from.
 The model is trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample (PER_LANGUAGE rows
 of each language), and its temperature is calibrated on a fifth of that sample that training never saw."""
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_sample, id_crc, tune
-from tessera.llm.quality import document_frequencies, sample_counts
+from tessera.llm.quality import document_frequencies, products, sample_counts, sparse, weighted
 from tessera.llm.words import mix
 
 TERMS = 1 << 14
@@ -30,8 +31,8 @@ _ascii[65:91], _ascii[97:123] = np.arange(97, 123), np.arange(97, 123)
 
 
 def gram_counts(arr: pa.Array):
-    """(from, to, counts) over the rows of a text column; counts: (rows, TERMS) float32. Letters are lower-cased, other
-    ASCII is a blank, runs of blanks are one."""
+    """(from, to, rows, terms, counts) over the rows of a text column: the terms that each row holds. Letters are
+    lower-cased, other ASCII is a blank, runs of blanks are one."""
     texts = arr.to_pylist()
     i = 0
     while i < len(texts):
@@ -57,15 +58,10 @@ def gram_counts(arr: pa.Array):
             if n == 1:
                 ok = ok & ~blank
             cells.append(doc[: len(h)][ok] * TERMS + (mix(h[ok], n) & np.uint64(TERMS - 1)).astype(np.int64))
-        yield i, j, np.bincount(np.concatenate(cells), minlength=(j - i) * TERMS).reshape(j - i, TERMS).astype(np.float32)
+        yield i, j, *sparse(np.concatenate(cells), TERMS)
         i = j
 
 
-def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts) * weight
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-
-
 class Model(NamedTuple):
     languages: list[str]
     weight: np.ndarray
@@ -119,18 +115,18 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from learn (doc_id, text, lang); rows with a null lang or text are left out. docs gives document counts."""
-    tune(docs.sparkSession)
-    df, n = document_frequencies(docs.select(F.col("text").cast("string")), gram_counts, TERMS)
-    weight = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Learns from learn (doc_id, text, lang), document counts too; rows with a null lang or text are left out."""
+    tune(learn.sparkSession)
     known = learn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text")).filter("label IS NOT NULL AND text IS NOT NULL")
+    df, n = document_frequencies(known.select("text"), gram_counts, TERMS)
+    weight = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     labels, pairs = sample_counts(bounded_sample(known, "label", per_language, seed=11), gram_counts, TERMS)
     languages = sorted(set(labels))
     if not languages:
         return Model([], weight, np.zeros((TERMS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     y = np.array([languages.index(v) for v in labels])
-    rows = [(at, weighted(n_of[None, :].astype(np.float32), weight[at])[0]) for at, n_of in pairs]
+    rows = [(at, weighted(1, np.zeros(len(at), np.int64), at.astype(np.int64), n_of.astype(np.float32), weight)) for at, n_of in pairs]
     apart = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     w, b = ftrl([rows[i] for i in np.flatnonzero(~apart)], y[~apart], TERMS, len(languages))
     if len(languages) == 1:
@@ -143,7 +139,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text); `und` with score 0 if the text is null or has no letter.
 
     Whole texts are counted. Equal texts are predicted alike; of equal probabilities the first language in code-point
-    order wins. An empty table gives no rows. Extra columns are ignored."""
+    order wins. Rows with a null doc_id are predicted as any other. An empty table gives no rows. Extra columns are ignored."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -154,8 +150,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             letters = [t is not None and any(map(str.isalpha, t)) for t in texts]
             if m.languages:
-                for i, j, c in gram_counts(batch.column(1)):
-                    p = softmax((weighted(c, m.weight) @ m.matrix + m.bias) / m.temperature)
+                for i, j, row, term, n in gram_counts(batch.column(1)):
+                    p = softmax((products(j - i, row, term, weighted(j - i, row, term, n, m.weight), m.matrix) + m.bias) / m.temperature)
                     best = p.argmax(1)
                     for r in range(i, j):
                         if letters[r]:
@@ -166,7 +162,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learnt from the rows whose crc32 of doc_id as text, modulo 4, is not 2."""
-    out = predict(docs, fit(docs, docs.filter(id_crc(F.col("doc_id")) % 4 != 2)))
+    """doc_id, held_out, lang_pred, score: learnt from the rows whose crc32 of doc_id as text, modulo 4, is not 2. A null
+    doc_id has no such remainder: the row is neither learnt from nor held out."""
+    out = predict(docs, fit(docs.filter(id_crc(F.col("doc_id")) % 4 != 2)))
     held = F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

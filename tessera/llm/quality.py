@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent-semantic space (operator 1).
 
-Terms describe how a text is written: shapes of words (letter case, digits, marks, runs collapsed), pairs of shapes
-and words that repeat ones just before; hashed into TERMS buckets. Inverse document frequencies count all documents. A
+Terms say how a text is written and of what: shapes of words (letter case, digits, marks, runs collapsed), words that
+repeat ones just before, words without regard to case, and pairs of shapes and of words; hashed into buckets. Inverse document frequencies count all documents. A
 bounded sample of labelled rows (PER_CLASS of each label) fixes a truncated singular value decomposition and, projected
 and normalised, the labelled vectors. These are broadcast (PER_CLASS x 2 x RANK floats); every document takes exact
 cosine products with all of them, in blocks, and its nearest vote with weights by similarity."""
@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_sample, id_crc, tune
-from tessera.llm.words import SPACE, chunks, mix, spans_hash
+from tessera.llm.words import LOWER, SPACE, chunks, mix, spans_hash
 
-TERMS, RANK, NEIGHBOURS = 2048, 48, 15
+#: Buckets of shapes, of words, of both; the rank of the space; neighbours that vote.
+SHAPES, WORDS = 2048, 2048
+TERMS, RANK, NEIGHBOURS = SHAPES + WORDS, 48, 15
+#: What a word weighs beside a shape.
+WORD_WEIGHT = 0.5
 #: The bound of the fit: about so many labelled rows of each label value.
 PER_CLASS = 2000
 #: A neighbour's weight is its similarity to this power.
@@ -28,8 +32,14 @@ SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[128:], SHAPE[48:58], SHAPE[SPACE] = 65, 97, 97, 48, 0
 
 
+def sparse(cells: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, terms, counts) of occurrences numbered row * terms + term, in that order."""
+    at, n = np.unique(cells, return_counts=True)
+    return at // terms, at % terms, n.astype(np.float32)
+
+
 def term_counts(arr: pa.Array):
-    """(from, to, counts) over the rows of a text column; counts: (rows, TERMS) float32."""
+    """(from, to, rows, terms, counts) over the rows of a text column: the terms that each row holds."""
     for i, j, w in chunks(arr):
         h = w.hashes()
         shape = SHAPE[w.buf]
@@ -38,17 +48,17 @@ def term_counts(arr: pa.Array):
         keep[w.start] = True
         at = np.cumsum(keep) - 1
         s = spans_hash(shape[keep], at[w.start], at[w.end - 1] + 1) if len(w.start) else np.zeros(0, np.uint64)
-        terms, docs = [s], [w.doc]
+        named = spans_hash(LOWER[w.buf], w.start, w.end)
+        found = [(s, w.doc, 0, SHAPES), (named, w.doc, SHAPES, WORDS)]
         if len(h) > 1:
             same = w.doc[1:] == w.doc[:-1]
-            terms.append(mix(s[:-1] ^ mix(s[1:], 1), 2)[same])
-            docs.append(w.doc[1:][same])
+            for x, first, size in ((s, 0, SHAPES), (named, SHAPES, WORDS)):
+                found.append((mix(x[:-1] ^ mix(x[1:], 1), 2)[same], w.doc[1:][same], first, size))
         for back in (1, 2, 3):
             again = np.flatnonzero((h[back:] == h[:-back]) & (w.doc[back:] == w.doc[:-back])) + back
-            terms.append(np.full(len(again), mix(np.array([back], np.uint64), 3)[0]))
-            docs.append(w.doc[again])
-        cell = np.concatenate(docs) * TERMS + (np.concatenate(terms) & np.uint64(TERMS - 1)).astype(np.int64)
-        yield i, j, np.bincount(cell, minlength=(j - i) * TERMS).reshape(j - i, TERMS).astype(np.float32)
+            found.append((np.full(len(again), mix(np.array([back], np.uint64), 3)[0]), w.doc[again], 0, SHAPES))
+        cell = [doc * TERMS + first + (x & np.uint64(size - 1)).astype(np.int64) for x, doc, first, size in found]
+        yield i, j, *sparse(np.concatenate(cell), TERMS)
 
 
 def document_frequencies(texts: DataFrame, counter, terms: int) -> tuple[np.ndarray, int]:
@@ -57,8 +67,8 @@ def document_frequencies(texts: DataFrame, counter, terms: int) -> tuple[np.ndar
     def run(batches):
         total, docs = np.zeros(terms, np.int64), 0
         for batch in batches:
-            for i, j, c in counter(batch.column(0)):
-                total += (c > 0).sum(0)
+            for i, j, _, term, _ in counter(batch.column(0)):
+                total += np.bincount(term, minlength=terms)
                 docs += j - i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, terms)), pa.array(np.append(total[at], docs))], names=["term", "n"])
@@ -76,10 +86,10 @@ def sample_counts(rows: DataFrame, counter, terms: int) -> tuple[list, list[tupl
     def run(batches):
         for batch in batches:
             packed = []
-            for _, _, c in counter(batch.column(2)):
-                for x in c:
-                    at = np.flatnonzero(x)
-                    packed.append(at.astype(np.uint16).tobytes() + np.minimum(x[at], 65535).astype(np.uint16).tobytes())
+            for i, j, row, term, n in counter(batch.column(2)):
+                bound = np.searchsorted(row, np.arange(j - i + 1))
+                term, n = term.astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)
+                packed += [term[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(bound, bound[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "counts"])
 
     got = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label {kind}, counts binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.counts)))
@@ -90,6 +100,17 @@ def sample_counts(rows: DataFrame, counter, terms: int) -> tuple[list, list[tupl
     return [r.label for r in got], pairs
 
 
+def products(docs: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sums of value * matrix[term] by row, for rows in order; a piece at a time, so that memory stays small."""
+    out = np.zeros((docs, matrix.shape[1]), np.float32)
+    for lo in range(0, len(row), 100_000):
+        s = slice(lo, lo + 100_000)
+        start = np.flatnonzero(np.diff(row[s], prepend=-1))
+        if len(start):
+            out[row[s][start]] += np.add.reduceat(value[s, None] * matrix[term[s]], start)
+    return out
+
+
 class Model(NamedTuple):
     weight: np.ndarray  # of terms
     basis: np.ndarray  # (TERMS, RANK)
@@ -103,17 +124,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
-def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Square roots of shares, by term weight, normalised."""
-    return _unit(np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)) * weight)
+def weighted(docs: int, row: np.ndarray, term: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Square roots of shares, by term weight; rows of length one."""
+    v = np.sqrt(n) * weight[term]
+    return v / np.maximum(np.sqrt(np.bincount(row, v * v, docs)), 1e-12)[row].astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Learns from labels (doc_id, label) of docs (doc_id, text); rows with a null label or id are left out."""
+    """Learns from labels (doc_id, label) of docs (doc_id, text); rows with a null label or id are left out. Of labels
+    that contradict each other for one doc_id the smallest holds."""
     tune(docs.sparkSession)
     df, n = document_frequencies(docs.select(F.col("text").cast("string")), term_counts, TERMS)
     weight = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    weight[SHAPES:] *= WORD_WEIGHT
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     whole = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     some = F.broadcast(bounded_sample(known, "label", per_class, seed=7))
     y, pairs = sample_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id"), term_counts, TERMS)
@@ -122,21 +146,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         return Model(weight, np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), y, y, 0.5)
     x = np.zeros((len(y), TERMS), np.float32)
     for row, (at, n_of) in zip(x, pairs, strict=True):
-        row[at] = n_of
-    x = weighted(x, weight)
+        row[at] = weighted(1, np.zeros(len(at), np.int64), at.astype(np.int64), n_of.astype(np.float32), weight)
+    basis = decompose(x, RANK)
+    votes = np.array([whole[int(k)] / (y == k).sum() for k in y], np.float32)
+    return Model(weight, basis, _unit(x @ basis), y, votes, float((votes * y).sum() / votes.sum()))
+
+
+def decompose(x: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of x as columns, by subspace iteration."""
     rng = np.random.default_rng(5)
-    q = rng.standard_normal((TERMS, RANK + 16)).astype(np.float32)
+    q = rng.standard_normal((x.shape[1], rank + 16)).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-    basis = np.ascontiguousarray((q @ v.T)[:, :RANK])
-    votes = np.array([whole[int(k)] / (y == k).sum() for k in y], np.float32)
-    return Model(weight, basis, _unit(x @ basis), y, votes, float((votes * y).sum() / votes.sum()))
+    return np.ascontiguousarray((q @ v.T)[:, :rank])
 
 
-def vote(counts: np.ndarray, m: Model) -> np.ndarray:
+def vote(docs: int, row: np.ndarray, term: np.ndarray, n: np.ndarray, m: Model) -> np.ndarray:
     """Scores of rows of term counts: cosine products with all labelled vectors in blocks, then the weighted vote."""
-    z = _unit(weighted(counts, m.weight) @ m.basis)
+    z = _unit(products(docs, row, term, weighted(docs, row, term, n, m.weight), m.basis))
     out = np.full(len(z), m.prior)
     if not len(m.labels):
         return out
@@ -166,8 +194,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
         m = shared.value
         for batch in batches:
             s = np.zeros(batch.num_rows)
-            for i, j, c in term_counts(batch.column(0)):
-                s[i:j] = vote(c, m)
+            for i, j, *found in term_counts(batch.column(0)):
+                s[i:j] = vote(j - i, *found, m)
             yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(s)], names=[*batch.schema.names[first:], "score"])
 
     return rows.mapInArrow(run, schema)
