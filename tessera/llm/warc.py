@@ -1,7 +1,7 @@
 """WARC archives: a writer of one gzip member per record, and a salvage reader (operator 2).
 
 The writer leaves file handling to Spark's text sink, so it works on any file system and survives lost tasks: a row is
-one gzip member, and the line separator is an empty gzip member, so a whole file is valid gzip.
+the gzip members of a file, and the line separator is an empty gzip member, so a whole file is valid gzip.
 
 The reader checks every record (gzip checksum, version line, length, block digest). After a failed check it searches
 for the next gzip magic or version line from which a record passes, and logs the bytes between as quarantined."""
@@ -11,8 +11,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir, tune
+from tessera.llm.common import cut, remove, shared_path, tune
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Records in a file: a file is read as a whole, so this bounds a reader's memory.
-FILE_RECORDS = 1000
+#: Bytes of a file at which it takes no more records: a file is read as a whole, so this bounds a reader's memory.
+FILE_BYTES = 16 << 20
+#: Bytes handed to the decompressor at once.
+SLICE = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -83,14 +85,17 @@ def _parse(data: bytes, at: int, whole: bool) -> tuple[int, dict[str, str], byte
 
 
 def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    z = zlib.decompressobj(31)
+    """(end, content) of the gzip member at `at`, read in slices, so that what follows it is not copied each time."""
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + SLICE]))
+            at += SLICE
     except zlib.error as e:
         raise ValueError("bad gzip member") from e
     if not z.eof:
         raise ValueError("short gzip member")
-    return len(data) - len(z.unused_data), out
+    return min(at, len(data)) - len(z.unused_data), b"".join(out)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -164,17 +169,29 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["page_id", "url", "sha", "bytes", "member"])
 
     def choose(batches):
+        # a row is a whole file: members up to FILE_BYTES, or one larger member
+        held, size_held = [], 0
         for batch in batches:
-            out = []
             for page, url, sha, size, member, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append(member if first is None else gzip.compress(_revisit(page, url, sha, size, first), 6, mtime=0))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                if first is not None:
+                    member = gzip.compress(_revisit(page, url, sha, size, first), 6, mtime=0)
+                if held and size_held + len(member) > FILE_BYTES:
+                    yield _file(held)
+                    held, size_held = [], 0
+                held.append(member)
+                size_held += len(member)
+        if held:
+            yield _file(held)
 
     packed = pages.mapInArrow(pack, "page_id long, url string, sha string, bytes long, member binary")
     on = (F.coalesce("page_id", F.lit(-1)) == F.col("_id")) & (F.col("page_id").isNull() == F.col("_none")) & (F.col("sha") == F.col("_sha"))
     rows = packed.join(again, on, "left").select("page_id", "url", "sha", "bytes", "member", "refers_to").mapInArrow(choose, "member binary")
     sink = rows.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-    sink.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "none").text(path)
+    sink.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["member"])
 
 
 def _revisit(page, url, sha: str, size: int, first: int) -> bytes:
@@ -216,8 +233,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes pages as archives in the shared folder and reads the records back."""
+    """Writes pages as archives in the shared folder and reads the records back; what each record says is kept there, the
+    archives go. Quarantined gaps, which archives just written should not have, are counted in a warning."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_archives(pages, path, least)
-    return read_archives(spark, path, payloads=False).filter("reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = cut(read_archives(spark, path, payloads=False), "records")
+    lost = found.filter("reason IS NOT NULL").agg(F.count("*").alias("gaps"), F.sum("length").alias("bytes")).first()
+    if lost.gaps:
+        logging.getLogger(__name__).warning("%d quarantined gaps of %d bytes in %s", lost.gaps, lost.bytes, path)
+    else:
+        remove(spark, path)
+    return found.filter("reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
