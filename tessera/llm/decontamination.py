@@ -3,13 +3,15 @@
 Words are lower-cased and freed of ASCII punctuation. Runs of TILE words (seeds) of the benchmark items are joined with
 those of the documents; an upper bound of coverage from the seeds alone rejects most pairs. For the others, the longest
 matches between item and document that no tile covers yet are marked again and again, found by running Karp-Rabin
-hashes over unmarked words, down to tiles of TILE words. Tiles may stand in any order, so reordered passages count.
+hashes, down to tiles of TILE words. Tiles may stand in any order, so reordered passages count.
 
-The benchmark is a query set of its own: it is broadcast in blocks of at most BLOCK_WORDS words, however large it is,
-and each block is held against all documents. Nothing is shuffled but one row per document and block."""
+The benchmark is a query set of its own: it is broadcast in blocks of about BLOCK_WORDS words, however large it is, one
+after the other, and each block is held against all documents. Nothing is shuffled; if there are several blocks, the
+documents with the verdict so far are written between them."""
 
 from __future__ import annotations
 
+import heapq
 from typing import NamedTuple
 
 import numpy as np
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tune
+from tessera.llm.common import cut, forget, tune
 from tessera.llm.words import Words, chunks, spans_hash, split
 
 TILE, COVERAGE = 4, 0.6
 #: The size bound of a broadcast: words of the benchmark items in one block, about.
 BLOCK_WORDS = 1_000_000
+#: Rows of matches that are looked at together.
+HITS = 4_000_000
 
 #: A-Z lower-cased, ASCII punctuation and control characters as blanks.
 NORMAL = np.arange(256, dtype=np.uint8)
@@ -67,91 +71,114 @@ def build(ids: list[int], texts: list[str | None], tile: int) -> Index:
     return Index(np.array(ids, np.int64), words, seeds)
 
 
+def _matches(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(-length, item position, text position) of all maximal matches of at least `least` words, by rolling hashes of
+    runs of that length: runs that match one after the other on a diagonal are one match. Matching runs are looked at
+    HITS at a time; what a piece of the item leaves open at its end goes on in the next."""
+    if len(item) < least or len(text) < least:
+        return []
+    t = np.arange(len(text) - least + 1)
+    broken = np.concatenate([[0], np.cumsum(text == 0)])
+    t = t[broken[least:] == broken[: len(t)]]
+    th = spans_hash(text, t, t + least)
+    order = np.argsort(th, kind="stable")
+    t, th = t[order], th[order]
+    ph = spans_hash(item, np.arange(len(item) - least + 1), np.arange(least, len(item) + 1))
+    lo, hi = np.searchsorted(th, ph, "left"), np.searchsorted(th, ph, "right")
+    n = hi - lo
+    ends = np.cumsum(n)
+    out: list[tuple[int, int, int]] = []
+    open_diag, open_from = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS, "right")))
+        p = np.repeat(np.arange(i, j), n[i:j])
+        at = np.repeat(lo[i:j], n[i:j]) + np.arange(len(p)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+        # on each diagonal, in order of the item; what is open counts as a run just before
+        diag = np.concatenate([open_diag, t[at] - p])
+        pos = np.concatenate([np.full(len(open_diag), i - 1), p])
+        since = np.concatenate([open_from, p])
+        order = np.lexsort((pos, diag))
+        diag, pos, since = diag[order], pos[order], since[order]
+        first = np.flatnonzero(np.diff(diag, prepend=-(1 << 62)).astype(bool) | (np.diff(pos, prepend=-9) != 1))
+        last = np.append(first[1:], len(diag)) - 1
+        still = pos[last] == j - 1 if len(first) else np.zeros(0, bool)
+        still &= j < len(n)
+        open_diag, open_from = diag[first[still]], since[first[still]]
+        s, e, d = since[first[~still]], pos[last[~still]], diag[first[~still]]
+        out += zip((s - e - least).tolist(), s.tolist(), (s + d).tolist(), strict=True)
+        i = j
+    return out
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(item position, text position, length) of greedy string tiling; hashes of words; 0 in text never matches."""
-    p_mark, t_mark = np.zeros(len(item), bool), text == 0
+    """(item position, text position, length) of greedy string tiling; hashes of words; 0 in text never matches.
+
+    The longest match of words that no tile covers yet is marked, of equal ones that of the smallest item position, then
+    text position, as long as one of `least` words is left. What an earlier tile cuts off is a match of its own."""
+    p_mark, t_mark = np.zeros(len(item), bool), np.zeros(len(text), bool)
     out: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), len(text)) // 2)
-    while True:
-        found: list[tuple[int, int, int]] = []
-        longest = size
-
-        def windows(h: np.ndarray, mark: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-            taken = np.concatenate([[0], np.cumsum(mark)])
-            at = np.flatnonzero(taken[n:] == taken[:-n]) if len(h) >= n else np.zeros(0, np.int64)
-            return at, spans_hash(h, at, at + n)
-
-        ta, th = windows(text, t_mark, size)
-        where: dict[int, list[int]] = {}
-        for a, h in zip(ta.tolist(), th.tolist(), strict=True):
-            where.setdefault(h, []).append(a)
-        pa_, ph = windows(item, p_mark, size)
-        restart = 0
-        for p, h in zip(pa_.tolist(), ph.tolist(), strict=True):
-            for t in where.get(h, ()):
-                n = 0
-                while p + n < len(item) and t + n < len(text) and not p_mark[p + n] and not t_mark[t + n] and item[p + n] == text[t + n]:
-                    n += 1
-                if n > 2 * size:
-                    restart = n
-                    break
-                if n >= size:
-                    found.append((p, t, n))
-                    longest = max(longest, n)
-            if restart:
-                break
-        if restart:
-            size = restart
+    heap, left = _matches(item, text, least), len(item)
+    heapq.heapify(heap)
+    while heap and left >= least:
+        n, p, t = heapq.heappop(heap)
+        taken = p_mark[p : p - n] | t_mark[t : t - n]
+        if not taken.any():
+            p_mark[p : p - n] = t_mark[t : t - n] = True
+            out.append((p, t, -n))
+            left += n
             continue
-        for p, t, n in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-            if not p_mark[p : p + n].any() and not t_mark[t : t + n].any():
-                p_mark[p : p + n] = t_mark[t : t + n] = True
-                out.append((p, t, n))
-        if size <= least:
-            # a match cut short by a longer tile may leave a rest that is long enough
-            if not any(not p_mark[p + i : p + i + least].any() and not t_mark[t + i : t + i + least].any() for p, t, n in found for i in range(n - least + 1)):
-                return out
-            continue
-        size = max(least, size // 2)
+        edges = np.flatnonzero(np.diff(taken, prepend=True, append=True)).reshape(-1, 2)
+        for a, b in edges[edges[:, 1] - edges[:, 0] >= least].tolist():
+            heapq.heappush(heap, (a - b, p + a, t + a))
+    return out
 
 
 def covered(w: Words, h: np.ndarray, index: Index, tile: int, coverage: float):
     """(document, item, coverage, tiles) of pairs that share enough, of one chunk of documents."""
-    parts = []
     for k, (u, first, items, pos) in index.seeds.items():
         at, g = w.grams(h, k)
         if not len(g) or not len(u):
             continue
         near = np.minimum(np.searchsorted(u, g), len(u) - 1)
         hit = np.flatnonzero(u[near] == g)
-        n = (first[near[hit] + 1] - first[near[hit]]).astype(np.int64)
-        row = np.repeat(first[near[hit]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(at[hit], n)
-        parts.append((w.doc[place], items[row], pos[row], place, np.full(len(row), k)))
-    if not parts:
-        return
-    doc, item, pos, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, near = at[hit], near[hit]
+        # each seed of a document once, so that a document makes no more rows than the block has seeds
+        doc, seed = np.divmod(np.unique(w.doc[at] * len(u) + near), len(u))
+        n = (first[seed + 1] - first[seed]).astype(np.int64)
+        bounds = np.searchsorted(doc, np.arange(w.docs + 1))
+        ends = np.concatenate([[0], np.cumsum(n)])[bounds]
+        d = 0
+        while d < w.docs:
+            # documents whose seeds make HITS rows, or one document
+            e = max(d + 1, int(np.searchsorted(ends, ends[d] + HITS, "right")) - 1)
+            s = slice(bounds[d], bounds[e])
+            row = np.repeat(first[seed[s]], n[s]) + np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+            yield from _tiled(w, h, index, np.repeat(doc[s], n[s]), items[row], pos[row], at, g[hit], k, tile, coverage)
+            d = e
+
+
+def _tiled(w: Words, h: np.ndarray, index: Index, doc, item, pos, at, g, k: int, tile: int, coverage: float):
+    """Tiles the pairs of document and item whose seeds (doc, item, pos) may cover enough; at, g: places of seeds of k words."""
     if not len(doc):
         return
     order = np.lexsort((pos, item, doc))
-    doc, item, pos, place, size = (x[order] for x in (doc, item, pos, place, size))
+    doc, item, pos = doc[order], item[order], pos[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    gap = size.copy()
-    gap[:-1] = np.where(new[1:], size[:-1], np.minimum(size[:-1], pos[1:] - pos[:-1]))
+    gap = np.full(len(doc), k)
+    gap[:-1] = np.where(new[1:], k, np.minimum(k, pos[1:] - pos[:-1]))
     start = np.flatnonzero(new)
-    bound = np.add.reduceat(gap, start)
-    for s, e, most in zip(start, np.append(start[1:], len(doc)), bound, strict=True):
-        words = index.words[item[s]]
-        if most < coverage * len(words):
-            continue
-        # the document's words that any seed touches, with a break where they don't adjoin
-        k = int(size[s])
-        touched = np.unique((place[s:e, None] + np.arange(k)).ravel())
-        breaks = np.flatnonzero(np.diff(touched) > 1) + 1
-        text = np.insert(h[touched], breaks, 0)
-        found = tiles(words, text, min(tile, len(words)))
-        share = sum(t[2] for t in found) / len(words)
+    words = np.array([len(x) for x in index.words])
+    for s in start[np.add.reduceat(gap, start) >= coverage * words[item[start]]]:
+        of = index.words[item[s]]
+        here = slice(*np.searchsorted(w.doc[at], [doc[s], doc[s] + 1]))
+        own = spans_hash(of, np.arange(len(of) - k + 1), np.arange(k, len(of) + 1))
+        # the document's words that a seed of the item touches, with a break where they don't adjoin
+        touched = np.unique((at[here][np.isin(g[here], own)][:, None] + np.arange(k)).ravel())
+        text = np.insert(h[touched], np.flatnonzero(np.diff(touched) > 1) + 1, 0)
+        found = tiles(of, text, min(tile, len(of)))
+        share = sum(x[2] for x in found) / len(of)
         if share >= coverage:
             yield int(doc[s]), int(index.items[item[s]]), share, len(found)
 
@@ -173,9 +200,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage
     found = docs.select("doc_id", F.col("text").cast("string").alias("text"), *kept)
     base = ", ".join(f"`{n}` {t}" for n, t in found.dtypes)
     for b in range(blocks):
+        before = found
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
         index = spark.sparkContext.broadcast(build([r.item_id for r in block], [r.text for r in block], tile))
         found = found.mapInArrow(_judge(index, tile, coverage, b > 0), f"{base}, item_id long, coverage double, tiles int, leaks int")
+        if b + 1 < blocks:
+            # blocks in turn: one lies in memory at a time
+            found = cut(found, "judged")
+            index.unpersist()
+            forget(before)
     return found.select("doc_id", *(["text"] if "text" in keep else []), *kept, (F.col("leaks") > 0).alias("contaminated"), "item_id", "coverage", "tiles", "leaks")
 
 
