@@ -129,3 +129,75 @@ def personal(text):
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
     return sorted(out)
+
+
+def agreement(counts, labelers, rounds=50):
+    """{votes: posterior} of one kind by expectation-maximisation in plain Python; counts: {tuple of votes 0, 1, 2: n}."""
+    from math import exp, log
+
+    p = {v: min(0.95, max(0.05, (sum(x == 2 for x in v) + 0.5) / (sum(x != 1 for x in v) + 1))) for v in counts}
+    for _ in range(rounds):
+        prior = (sum(counts[v] * p[v] for v in counts) + 1) / (sum(counts.values()) + 2)
+        rel = {}
+        for j in range(labelers):
+            for t in (0, 1):
+                hits = {x: 0.5 + sum(n * (p[v] if t else 1 - p[v]) for v, n in counts.items() if v[j] == x) for x in (0, 2)}
+                rel |= {(j, t, x): h / sum(hits.values()) for x, h in hits.items()} | {(j, t, 1): 1}
+        for v in counts:
+            yes, no = (log(q) + sum(log(rel[j, t, x]) for j, x in enumerate(v)) for t, q in ((1, prior), (0, 1 - prior)))
+            p[v] = 1 / (1 + exp(max(-50, min(50, no - yes))))
+    return p
+
+
+def grams(text, terms):
+    """{bucket: count} of the runs of one to three characters, as the language identifier counts them, in plain integers."""
+    from collections import Counter
+
+    m = (1 << 64) - 1
+
+    def mixed(h, salt):
+        h = (h + 0x9E3779B97F4A7C15 * (salt + 1)) & m
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & m
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & m
+        return h ^ (h >> 31)
+
+    codes = []
+    for c in f" {text.lower()} ":
+        c = c if ord(c) > 127 or c.isalpha() else " "
+        if c != " " or not codes or codes[-1] != 32:
+            codes.append(ord(c))
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            if n == 1 and codes[i] == 32:
+                continue
+            h = codes[i]
+            for k in range(2, n + 1):
+                h = (h * 0x1000193 + codes[i + k - 1] * (2 * k + 1)) & m
+            out[mixed(h, n) % terms] += 1
+    return dict(out)
+
+
+def ftrl(rows, y, classes, order, alpha, beta, l1, l2):
+    """{(term, class): weight} of a multinomial model, term None for the bias; rows: {term: value}; order: rows as seen."""
+    from math import exp, sqrt
+
+    z, n = {}, {}
+
+    def weight(key):
+        a, b = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - (l1 if a > 0 else -l1)) / ((beta + sqrt(b)) / alpha + l2)
+
+    for r in order:
+        x = rows[r] | {None: 1.0}
+        w = {(t, c): weight((t, c)) for t in x for c in range(classes)}
+        logits = [sum(v * w[t, c] for t, v in x.items()) for c in range(classes)]
+        e = [exp(v - max(logits)) for v in logits]
+        for c in range(classes):
+            off = e[c] / sum(e) - (y[r] == c)
+            for t, v in x.items():
+                g, key = v * off, (t, c)
+                step = (sqrt(n.get(key, 0.0) + g * g) - sqrt(n.get(key, 0.0))) / alpha
+                z[key] = z.get(key, 0.0) + g - step * w[key]
+                n[key] = n.get(key, 0.0) + g * g
+    return {k: weight(k) for k in z}

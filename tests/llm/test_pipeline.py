@@ -68,5 +68,11 @@ def test_stages_against_plain_versions(spark, tables):
 
 
 def test_run(spark, tables):
+    from pathlib import Path
+
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(shared.iterdir())
     out = corpus_pipeline.run(spark, tables[0])
+    # of all that stages wrote, only what the last one reads is left
+    assert {p.name.split("-")[0] for p in set(shared.iterdir()) - before} == {"stage3", "rows"}
     assert out.count() > 100 and {"shard", "slot"} <= set(out.columns)
