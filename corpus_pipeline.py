@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, minhash_dedup, mixing, quality, resharding
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, forget, scratch, table
 
 SHARDS = 24
 
@@ -80,8 +80,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as made:
+            kept = cut(stage(spark, docs, sf_dir), f"stage{i}")
+            made.remove(kept.cut_path)
+        forget(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
