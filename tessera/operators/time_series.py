@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import mathx as M
@@ -165,15 +165,17 @@ def ts_backfill(x: Expr, d: int) -> Expr:
 
 @operator
 def last_diff_value(x: Expr, d: int) -> Expr:
-    """The latest value of the d - 1 rows before that differs from x; NaN if there is none or x is missing."""
+    """The latest value of the d - 1 rows before that differs from x; NaN if there is none or x is missing.
 
-    def fn(f: Frame, a: Column) -> Column:
-        if d < 2:
-            return M.nan()
-        before = F.collect_list(M.valid(a)).over(f.between(-(d - 1), -1))
-        return M.or_nan(F.when(M.ok(a), F.try_element_at(F.filter(before, lambda v: v != a), F.lit(-1))))
-
-    return _series("last_diff_value", fn, _double(x), params=(d,))
+    It is the value before the last change, so running windows find it, whatever d is."""
+    x = _double(x)
+    v = valid(x)
+    earlier = lambda f, c: F.last(c, ignorenulls=True).over(f.between(Window.unboundedPreceding, -1))
+    before = _series("valid_before", earlier, v)
+    place = _series("valid_before_at", lambda f, c: earlier(f, F.when(c.isNotNull(), f.index)), v)
+    change = cell("changed_from", lambda c, p, i: F.when(c != p, F.struct(p.alias("value"), i.alias("at"))), v, before, place)
+    last = _series("last_change", lambda f, c: F.last(c, ignorenulls=True).over(f.so_far), change)
+    return cell("last_diff_value", lambda a, c, i: M.or_nan(F.when(M.ok(a) & (c["at"] > i - d), c["value"])), x, last, "date_idx", params=(d,))
 
 
 @operator

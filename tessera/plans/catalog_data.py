@@ -6,16 +6,17 @@ monthly sums of orders by customer."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import journal
 from tessera.plans.catalog import PANEL_SQL, D, S, settle, shift, weekly_panel, w
-from tessera.plans.fields import build
+from tessera.plans.fields import CONCEPTS, RENAMED, build
 from tessera.plans.panel import Panel
 from tessera.plans.run import compute_all
-from tessera.sources import fundamentals, tagging, ticks, universe
+from tessera.sources import fundamentals, master_build, tagging, ticks, universe
 from tessera.sources.calendar import TradingCalendar
 from tessera.sources.security_master import SecurityMaster, normal_ticker, padded_cik, sec_ticker, sessions
 
@@ -51,19 +52,69 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly_panel(spark, sf_dir).df.filter("close IS NOT NULL").select("date", "symbol", "open", "high", "low", "close", "volume")
 
 
+def _filing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bar of every symbol in a quarter: its figures are filed that day."""
+    p = weekly_panel(spark, sf_dir).df.filter("close IS NOT NULL").withColumn("quarter", F.quarter("date"))
+    first = Window.partitionBy("symbol", F.year("date"), "quarter").orderBy("date_idx")
+    return p.withColumn("n", F.row_number().over(first)).filter("n = 1")
+
+
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, symbol, concept, value: figures of suppliers on some Mondays."""
-    p = weekly_panel(spark, sf_dir).df.filter((F.col("date_idx") % 13 == 0) & F.col("close").isNotNull())
+    """date, symbol, concept, value: figures of suppliers, quarterly."""
+    p = _filing_days(spark, sf_dir)
     return p.select("date", "symbol", F.posexplode(F.array("volume", "high", "low", "close", "open")).alias("k", "value")).withColumn("concept", F.element_at(F.array(*map(F.lit, ("sharesout", "income", "equity", "sales", "debt_lt"))), F.col("k") + 1)).drop("k")
 
 
 _FILED = """
-z AS (SELECT p.*, CASE WHEN i % 13 = 0 AND close IS NOT NULL THEN i END AS fi FROM p),
+z AS (SELECT p.*, CASE WHEN close IS NOT NULL AND row_number() OVER (PARTITION BY s, date_trunc('quarter', d), close IS NULL ORDER BY i) = 1 THEN i END AS fi FROM p),
 y AS (SELECT z.*, last_value(CASE WHEN fi IS NOT NULL THEN volume END IGNORE NULLS) OVER so AS sharesout, last_value(CASE WHEN fi IS NOT NULL THEN high END IGNORE NULLS) OVER so AS income,
   last_value(CASE WHEN fi IS NOT NULL THEN low END IGNORE NULLS) OVER so AS equity, last_value(CASE WHEN fi IS NOT NULL THEN close END IGNORE NULLS) OVER so AS sales,
   last_value(CASE WHEN fi IS NOT NULL THEN open END IGNORE NULLS) OVER so AS debt_lt
   FROM z WINDOW so AS (PARTITION BY s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
+#: What the registry takes from filings: concept by field, and the number by which its figures are told apart.
+_FILINGS = {c: c for c in CONCEPTS} | RENAMED
+_NUMBER = {c: k for k, c in enumerate(_FILINGS.values())}
+
+
+def all_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, symbol, concept, value for every concept; each is left out of one quarter in three."""
+    p = _filing_days(spark, sf_dir)
+    numbered = F.explode(F.create_map(*(F.lit(x) for c, k in _NUMBER.items() for x in (c, k)))).alias("concept", "k")
+    rows = p.select("date", "symbol", "quarter", "volume", "high", numbered).filter((F.col("quarter") + F.col("k")) % 3 != 0)
+    return rows.select("date", "symbol", "concept", (F.col("volume") * (F.col("k") % 5 + 1) + F.col("high") + F.col("k") * 10).alias("value"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, start_date and labels: two rows a supplier, the older one without an exchange."""
+    s = _read(spark, sf_dir, "supplier")
+    n = F.col("s_nationkey")
+    row = lambda year, shift, exchange: s.select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("symbol"), F.lit(f"{year}-01-01").cast("date").alias("start_date"), *(F.concat(F.lit(x), ((n + shift) % m).cast("string")).alias(c) for c, x, m in (("sector", "s", 3), ("industry", "i", 7), ("subindustry", "u", 11))), exchange.alias("exchange"))
+    return row(2020, 0, F.lit(None).cast("string")).unionByName(row(2021, 1, F.concat(F.lit("x"), (n % 2).cast("string"))))
+
+
+def _all_fields_sql() -> str:
+    carried = ", ".join(f"last_value(CASE WHEN fi IS NOT NULL AND (quarter(d) + {_NUMBER[c]}) % 3 <> 0 THEN volume * {_NUMBER[c] % 5 + 1} + high + {_NUMBER[c] * 10} END IGNORE NULLS) OVER so AS {f}" for f, c in _FILINGS.items())
+    formulas = {
+        "vwap": "(high + low + close) / 3", "returns": f"close / nullif(lag(close) OVER {S}, 0) - 1", "adv20": f"CASE WHEN count(volume) OVER {w(20)} = 20 THEN avg(volume) OVER {w(20)} END", "cap": "close * sharesout", "split": "1.0",
+        "debt": "debt_lt + debt_st", "ebitda": "operating_income + depre_amort", "operating_expense": "cogs + sga_expense + depre_amort", "working_capital": "assets_curr - liabilities_curr", "invested_capital": "equity + debt_lt - cash",
+        "enterprise_value": "close * sharesout + debt_lt - cash", "eps": "income / nullif(sharesout, 0)", "bookvalue_ps": "equity / nullif(sharesout, 0)", "current_ratio": "assets_curr / nullif(liabilities_curr, 0)", "return_equity": "income / nullif(equity, 0)",
+        "return_assets": "income / nullif(assets, 0)", "sales_ps": "sales / nullif(sharesout, 0)", "inventory_turnover": "cogs / nullif(inventory, 0)", "sales_growth": f"sales / nullif(lag(sales, 63) OVER {S}, 0) - 1",
+    } | {c: c for c in ("close", "open", "high", "low", "volume", *_FILINGS)}
+    columns = ", ".join(f"{_r(x)} AS {c}" for c, x in formulas.items())
+    labels = ", ".join(f"'{x}' || ((l.s_nationkey + 1) % {m})::VARCHAR AS {c}" for c, x, m in (("sector", "s", 3), ("industry", "i", 7), ("subindustry", "u", 11)))
+    return f"""WITH RECURSIVE {PANEL_SQL},
+z AS (SELECT p.*, CASE WHEN close IS NOT NULL AND row_number() OVER (PARTITION BY s, date_trunc('quarter', d), close IS NULL ORDER BY i) = 1 THEN i END AS fi FROM p),
+y AS (SELECT z.*, {carried} FROM z WINDOW so AS (PARTITION BY s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT d AS date, s AS symbol, {columns}, {labels}, 'x' || (l.s_nationkey % 2)::VARCHAR AS exchange FROM y LEFT JOIN supplier l ON lpad(l.s_suppkey::VARCHAR, 8, '0') = y.s"""
+
+
+@_case(_all_fields_sql())
+def fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the registry."""
+    t = daily(spark, sf_dir).withColumn("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    return _rounded(build(t.select("date"), t, all_filed(spark, sf_dir), labelled(spark, sf_dir)).df.drop("date_idx"))
+
 
 @_case(f"WITH RECURSIVE {PANEL_SQL} SELECT d AS date, s AS symbol, {_r(f'close / nullif(lag(close) OVER {S}, 0) - 1')} AS returns, CASE WHEN count(volume) OVER {w(20)} = 20 THEN {_r(f'avg(volume) OVER {w(20)}')} END AS adv20, {_r('1.0')} AS split FROM p")
 def fields_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,18 +219,23 @@ def universe_top_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.top_by_dollar_volume(b, 20, by="month").withColumn("avg_dollar_vol", F.round("avg_dollar_vol", 4)).withColumn("place", F.col("place").cast("int"))
 
 
-@_case(f"""WITH RECURSIVE {PANEL_SQL}, d AS (SELECT DISTINCT d FROM p WHERE i % 3 = 0) SELECT p.d AS date, p.s AS symbol, p.close FROM p JOIN d ON d.d = p.d WHERE close IS NOT NULL AND p.d BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""")
+@_case(f"""WITH RECURSIVE {PANEL_SQL}, d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) SELECT p.d AS date, p.s AS symbol, p.close FROM p JOIN d ON d.d = p.d WHERE close IS NOT NULL""")
 def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows on trading days of a year."""
-    df = weekly_panel(spark, sf_dir).df
-    cal = TradingCalendar(df.filter("date_idx % 3 = 0").select("date"))
-    return TradingCalendar(cal.of_year(1996)).only(df.filter("close IS NOT NULL").select("date", "symbol", "close"))
+    """Rows on trading days, which are the days with orders."""
+    return _calendar(spark, sf_dir).only(weekly_panel(spark, sf_dir).df.filter("close IS NOT NULL").select("date", "symbol", "close"))
+
 
+def _calendar(spark: SparkSession, sf_dir: str) -> TradingCalendar:
+    return TradingCalendar(_read(spark, sf_dir, "orders").select("o_orderdate"))
 
-@_case("""SELECT event_id, 'E' || user_id::VARCHAR AS symbol, strftime(ts::TIMESTAMP - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S') AS timestamp, round(value, 4) AS open, (event_id % 100)::BIGINT AS volume FROM events WHERE month(ts) IN (1, 2, 12)""")
-def ticks_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON bars to rows in local time (winter months, when the offset is five hours)."""
-    return _parsed(_read(spark, sf_dir, "events").filter(F.month("ts").isin(1, 2, 12)))
+
+@_case("""WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) SELECT d AS date, 'year' AS range FROM d WHERE year(d) = 1996 UNION ALL SELECT d, 'month' FROM d WHERE strftime(d, '%Y-%m') = '1996-02'
+UNION ALL SELECT d, 'between' FROM d WHERE d BETWEEN DATE '1996-03-05' AND DATE '1996-04-10' UNION ALL (SELECT d, 'last' FROM d WHERE d <= DATE '1996-05-01' ORDER BY d DESC LIMIT 10)""")
+def calendar_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range reads of a calendar."""
+    c = _calendar(spark, sf_dir)
+    parts = {"year": c.of_year(1996), "month": c.of_year(1996, 2), "between": c.between("1996-03-05", "1996-04-10"), "last": c.last_days("1996-05-01", 10)}
+    return reduce(DataFrame.unionByName, (df.withColumn("range", F.lit(name)) for name, df in parts.items()))
 
 
 def _parsed(e: DataFrame) -> DataFrame:
@@ -270,13 +326,6 @@ def compute_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute("ts_delta(close, 5)", Panel(p.filter("date_idx >= 100")), lookback=Panel(p.filter("date_idx < 100"))).drop("date_idx")
 
 
-@_case(f"WITH RECURSIVE {PANEL_SQL} PIVOT (SELECT d AS date, s, volume FROM p WHERE s IN ('00000001', '00000002', '00000003')) ON s IN ('00000001', '00000002', '00000003') USING first(volume)")
-def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three columns of the matrix of panel_wide_all, those that its SQL names; all other symbols are left out."""
-    p = weekly_panel(spark, sf_dir).df
-    return Panel(p.filter(F.col("symbol").isin("00000001", "00000002", "00000003"))).to_wide("volume")
-
-
 @_case(None)
 def panel_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix: dates by all symbols. Its SQL would have to list the symbols of the table."""
@@ -307,7 +356,9 @@ def tags_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.tag_usage(tagged(spark, sf_dir))
 
 
-@_case(None)
+@_case("""WITH q AS (SELECT quantile_cont(c_acctbal, 0.33) AS a, quantile_cont(c_acctbal, 0.66) AS b FROM customer),
+t AS (SELECT c_custkey::VARCHAR AS symbol, c_acctbal AS size, c_mktsegment AS industry, (CASE WHEN c_acctbal <= a THEN 0 WHEN c_acctbal <= b THEN 1 ELSE 2 END)::INT AS tier FROM customer, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY tier, industry ORDER BY md5('7:' || symbol), symbol)::INT AS turn FROM t) SELECT * FROM r ORDER BY turn, tier, industry, symbol LIMIT 60""")
 def tags_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixty companies in turn from strata of size and industry."""
     c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_acctbal").alias("size"), F.col("c_mktsegment").alias("industry"))
@@ -319,3 +370,102 @@ def tags_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts = spark.createDataFrame([("sales", "Sales revenue net"), ("income", "Net income or loss"), ("assets", "Assets total")], "concept string, description string")
     u = tagging.tag_usage(tagged(spark, sf_dir).withColumn("label", F.element_at(F.array(*map(F.lit, ("Sales Revenue, Net", "Assets, Total", "Table", "Net Income (Loss)"))), (F.col("accn") % 4 + 1).cast("int"))))
     return tagging.suggest(concepts, u)
+
+
+def _name_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names: orders, as uses of symbols by customers; links of identifiers: suppliers; a regulator's listing: parts."""
+    k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
+    cusip = F.concat(F.lpad((c % 90).cast("string"), 6, "0"), F.lpad((k % 3).cast("string"), 2, "0"), F.lit("X"))
+    names = _read(spark, sf_dir, "orders").select(c.alias("permno"), F.when(k % 11 != 0, F.concat(F.lit("S"), (k % 7).cast("string"))).alias("symbol"), F.concat(F.lit("c"), (c % 5).cast("string")).alias("company"), F.when(k % 13 != 0, cusip).alias("cusip"), d.alias("start_date"), F.date_add(d, (k % 400).cast("int")).alias("end_date"))
+    s = F.col("s_suppkey")
+    links = _read(spark, sf_dir, "supplier").select(
+        F.concat(F.lpad((s % 80).cast("string"), 6, "0"), F.lpad((s % 3).cast("string"), 2, "0"), F.lit("YY")).alias("cusip"), F.when(s % 9 != 0, padded_cik(s)).alias("cik"),
+        F.date_add(F.lit("1992-01-01").cast("date"), (s * 37 % 900).cast("int")).alias("cik_from"), F.date_add(F.lit("1992-01-01").cast("date"), (s * 37 % 900 + s * 53 % 1500).cast("int")).alias("cik_to"),
+    )
+    p = F.col("p_partkey")
+    listing = _read(spark, sf_dir, "part").select(F.concat(F.lit("s."), (p % 5).cast("string")).alias("ticker"), (p * 1000).alias("cik_str"))
+    return names, links, listing
+
+
+_NAMES = """
+n AS (SELECT o_custkey AS permno, CASE WHEN o_orderkey % 11 <> 0 THEN 'S' || (o_orderkey % 7)::VARCHAR END AS symbol, 'c' || (o_custkey % 5)::VARCHAR AS company,
+  CASE WHEN o_orderkey % 13 <> 0 THEN lpad((o_custkey % 90)::VARCHAR, 6, '0') || lpad((o_orderkey % 3)::VARCHAR, 2, '0') || 'X' END AS cusip, o_orderdate::DATE AS start_date, o_orderdate::DATE + (o_orderkey % 400)::INT AS end_date FROM orders),
+k AS (SELECT lpad((s_suppkey % 80)::VARCHAR, 6, '0') || lpad((s_suppkey % 3)::VARCHAR, 2, '0') AS c8, CASE WHEN s_suppkey % 9 <> 0 THEN lpad(s_suppkey::VARCHAR, 10, '0') END AS cik,
+  DATE '1992-01-01' + (s_suppkey * 37 % 900)::INT AS cik_from, DATE '1992-01-01' + (s_suppkey * 37 % 900 + s_suppkey * 53 % 1500)::INT AS cik_to FROM supplier),
+j AS (SELECT n.*, k.cik, row_number() OVER (PARTITION BY permno, symbol, start_date, end_date ORDER BY coalesce(date_diff('day', cik_from, cik_to), -1) DESC, k.cik NULLS LAST, company NULLS LAST, cusip NULLS LAST) AS place
+  FROM n LEFT JOIN k ON n.cusip[1:8] = k.c8 AND (k.cik IS NULL OR start_date <= cik_to) AND (k.cik IS NULL OR end_date >= cik_from)),
+r AS (SELECT permno, symbol, company, cik, cusip, min(start_date) AS start_date, max(end_date) AS end_date FROM j WHERE place = 1 AND symbol IS NOT NULL GROUP BY permno, symbol, company, cik, cusip),
+h AS (SELECT 'S' || (p_partkey % 5)::VARCHAR AS ticker, min(lpad((p_partkey * 1000)::VARCHAR, 10, '0')) AS cik FROM part WHERE p_partkey <> 0 GROUP BY 1),
+q AS (SELECT r.* REPLACE (coalesce(r.cik, h.cik) AS cik) FROM r LEFT JOIN h ON h.ticker = r.symbol),
+u AS (SELECT permno, symbol, list_sort(coalesce(list(DISTINCT cik) FILTER (WHERE cik IS NOT NULL), [])) AS ciks, min(start_date) AS start_date, max(end_date) AS end_date FROM q GROUP BY permno, symbol),
+b AS (SELECT *, lag(permno) OVER o IS NULL OR coalesce(symbol <> lag(symbol) OVER o AND len(lag(ciks) OVER o) > 0 AND len(ciks) > 0 AND NOT list_has_any(lag(ciks) OVER o, ciks), false) AS new FROM u WINDOW o AS (PARTITION BY permno ORDER BY start_date, symbol)),
+i AS (SELECT permno, symbol, (sum(new::INT) OVER (ORDER BY permno, start_date, symbol ROWS UNBOUNDED PRECEDING) + 1000)::BIGINT AS security_id FROM b)"""
+
+
+@_case(f"WITH {_NAMES} SELECT * FROM r")
+def master_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name records with their most reliable CIK, joined by identifier and time."""
+    names, links, _ = _name_records(spark, sf_dir)
+    return master_build.periods(names, links)
+
+
+@_case(f"WITH {_NAMES} SELECT * FROM q")
+def master_fill_ciks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing CIKs from a listing."""
+    names, links, listing = _name_records(spark, sf_dir)
+    return master_build.fill_ciks(master_build.periods(names, links), master_build.listed_ciks(listing))
+
+
+@_case(f"WITH {_NAMES} SELECT permno, symbol, array_to_string(ciks, ',') AS ciks, start_date, end_date FROM u")
+def master_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of symbols, with all known CIKs."""
+    return master_build.uses(master_fill_ciks(spark, sf_dir)).select("permno", "symbol", F.array_join("ciks", ",").alias("ciks"), "start_date", "end_date")
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Securities and companies: customers; names of codes: nations."""
+    c = F.col("c_custkey")
+    t = _read(spark, sf_dir, "customer")
+    securities = t.select(c.alias("gvkey"), F.when(c % 17 != 0, F.concat(F.lpad((c % 70).cast("string"), 6, "0"), F.lit("zz"))).alias("cusip"), (c % 20).alias("exchg"))
+    companies = t.filter(c % 3 != 0).select(c.alias("gvkey"), (c % 27).alias("gsector"), (c % 31).alias("ggroup"), (c % 23).alias("gsubind"))
+    n = _read(spark, sf_dir, "nation")
+    return securities, companies, n.select(F.explode(F.array(*map(F.lit, master_build.LABELS))).alias("kind"), F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+
+
+_LABELLED = """
+e AS (SELECT c_custkey AS gvkey, lpad((c_custkey % 70)::VARCHAR, 6, '0') AS cusip6, x.n_name AS exchange, a.n_name AS sector, g.n_name AS industry, z.n_name AS subindustry, row_number() OVER (PARTITION BY c_custkey % 70 ORDER BY c_custkey) AS n
+  FROM customer LEFT JOIN nation x ON x.n_nationkey = c_custkey % 20 LEFT JOIN nation a ON a.n_nationkey = c_custkey % 27 LEFT JOIN nation g ON g.n_nationkey = c_custkey % 31 LEFT JOIN nation z ON z.n_nationkey = c_custkey % 23
+  WHERE c_custkey % 17 <> 0 AND c_custkey % 3 <> 0)"""
+
+
+@_case(f"WITH {_NAMES}, {_LABELLED} SELECT security_id, q.permno, q.symbol, company, cik, start_date, end_date, exchange, sector, industry, subindustry FROM q JOIN i ON i.permno = q.permno AND i.symbol = q.symbol LEFT JOIN e ON e.cusip6 = q.cusip[1:6] AND e.n = 1")
+def master_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole master from names, links, a listing and classifications."""
+    return master_build.build(*_name_records(spark, sf_dir), *_codes(spark, sf_dir))
+
+
+@_case(f"WITH {_NAMES}, {_LABELLED} SELECT sector, count(*) AS len FROM q LEFT JOIN e ON e.cusip6 = q.cusip[1:6] AND e.n = 1 WHERE sector IS NOT NULL GROUP BY sector")
+def master_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of the master each sector has."""
+    return master_build.histogram(master_built(spark, sf_dir), "sector", known=True)
+
+
+@_case(f"""WITH {_MASTER}, l AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 't.' ELSE 'U-' END || (s_suppkey % 30)::VARCHAR AS ticker FROM supplier),
+g AS (SELECT upper(translate(ticker, '.-', '')) AS key, min(ticker) AS ticker FROM l GROUP BY 1), q AS {_DAYS},
+v AS (SELECT symbol, day, (SELECT arg_min(security_id, epoch(start_date::TIMESTAMP) * 1e5 + security_id) FROM m WHERE m.symbol = q.symbol AND q.day BETWEEN start_date AND end_date) AS a,
+  (SELECT arg_min(security_id, epoch(start_date::TIMESTAMP) * 1e5 + security_id) FROM m WHERE m.symbol = q.symbol AND DATE '2021-06-01' BETWEEN start_date AND end_date) AS b FROM q)
+SELECT v.symbol, v.day, CASE WHEN g.ticker IS NOT NULL AND a = b THEN g.ticker ELSE upper(v.symbol) END AS form FROM v LEFT JOIN g ON g.key = v.symbol""")
+def master_listed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of a day as the listing writes them, where the security is the same."""
+    m = master(spark, sf_dir)
+    k = F.col("s_suppkey")
+    listing = _read(spark, sf_dir, "supplier").select(F.concat(F.when(k % 2 == 0, "t.").otherwise("U-"), (k % 30).cast("string")).alias("ticker"))
+    days = F.explode(F.array(*(F.lit(d).cast("date") for d in ("2020-06-15", "2021-03-01", "2022-09-30"))))
+    return master_build.listed_form(m.select("symbol").distinct().withColumn("day", days), listing, SecurityMaster(m), "2021-06-01")
+
+
+@_case(f"WITH {_MASTER}, a AS (SELECT DISTINCT security_id, DATE '2020-12-01' AS day FROM m) SELECT a.security_id, a.day, arg_min(m.symbol, m.start_date) AS symbol FROM a LEFT JOIN m ON m.security_id = a.security_id AND a.day BETWEEN start_date AND end_date GROUP BY ALL")
+def master_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of the master by security and day."""
+    m = master(spark, sf_dir)
+    return master_build.info(SecurityMaster(m), m.select("security_id", F.lit("2020-12-01").alias("day")), "symbol")

@@ -37,7 +37,7 @@ def stratified_sample(companies: DataFrame, n: int, seed: int = 7) -> DataFrame:
     cuts = companies.agg(F.percentile("size", F.array(F.lit(0.33), F.lit(0.66))).alias("cuts"))
     tier = F.when(F.col("size") <= F.col("cuts")[0], 0).when(F.col("size") <= F.col("cuts")[1], 1).otherwise(2)
     rows = companies.crossJoin(F.broadcast(cuts)).withColumn("tier", tier).drop("cuts")
-    draw = F.xxhash64(F.lit(seed), "symbol")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), "symbol").cast("binary"))
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("tier", "industry").orderBy(draw, "symbol")))
     return rows.orderBy("turn", "tier", "industry", "symbol").limit(n)
 

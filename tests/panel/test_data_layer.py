@@ -10,7 +10,7 @@ from tessera.journal import Journal
 from tessera.plans.errors import NoSuchKeyError, SecurityNotFoundError, StorageError, UnknownFieldError
 from tessera.plans.fields import FIELDS, build, build_order
 from tessera.profiler import profile
-from tessera.sources import fundamentals, tagging, ticks, universe
+from tessera.sources import fundamentals, master_build, tagging, ticks, universe
 from tessera.sources.calendar import TradingCalendar
 from tessera.sources.objects import ObjectStore
 from tessera.sources.security_master import SecurityMaster
@@ -244,3 +244,55 @@ def test_likeness_is_the_token_set_ratio(spark):
     concepts = spark.createDataFrame([("net_income", "net income")], "concept string, description string")
     usage = spark.createDataFrame([("ProfitLoss", 5, "Net income loss attributable to parent")], "tag string, filings long, label string")
     assert [r.tag for r in tagging.suggest(concepts, usage).collect()] == ["ProfitLoss"]
+
+
+def test_the_most_reliable_cik_of_a_name(spark):
+    names = [(1, "A", "x", "123456AAZ", day("2020-01-01"), day("2020-12-31")), (1, "A", "x", "123456AAZ", day("2021-01-01"), day("2021-12-31")), (2, None, "y", "123456AA", day("2020-01-01"), day("2020-02-01")), (3, "B", None, None, day("2020-01-01"), day("2020-02-01"))]
+    links = [("123456AAQQ", "1", day("2019-01-01"), day("2020-06-30")), ("123456AA", "2", day("2020-01-01"), day("2025-01-01")), ("123456AA", None, None, None), ("123456BB", "3", day("2000-01-01"), day("2030-01-01")), ("123456AA", "0", day("2022-06-01"), day("2040-01-01"))]
+    n = spark.createDataFrame(names, "permno int, symbol string, company string, cusip string, start_date date, end_date date")
+    k = spark.createDataFrame(links, "cusip string, cik string, cik_from date, cik_to date")
+    got = sorted(map(tuple, master_build.periods(n, k).collect()))
+    assert got == [(1, "A", "x", "2", "123456AAZ", day("2020-01-01"), day("2021-12-31")), (3, "B", None, None, None, day("2020-01-01"), day("2020-02-01"))]
+    listed = master_build.listed_ciks(spark.createDataFrame([("b", 9), ("B", 7), ("", 1), ("C", 0)], "ticker string, cik_str long"))
+    assert {r.symbol: r.cik for r in master_build.fill_ciks(master_build.periods(n, k), listed).collect()} == {"A": "2", "B": "0000000007"}
+    assert master_build.periods(n.limit(0), k).count() == 0 and master_build.periods(n, k.limit(0)).filter("cik IS NOT NULL").count() == 0
+
+
+def test_first_extension_of_a_master(spark):
+    schema = "security_id long, symbol string, company string, cik string, share_class_figi string, start_date date, end_date date, exchange string, sector string, industry string, subindustry string"
+    rows = [(1001, "BRKB", "", None, None, day("2000-01-01"), day("2024-12-31"), None, "f", None, None), (1002, "OLD", "o", "1", "g", day("2000-01-01"), day("2024-12-31"), None, None, None, None), (1003, "NEW", "n", "5", None, day("2000-01-01"), day("2010-01-01"), "q", None, None, None)]
+    listing = spark.createDataFrame([("BRK.B",), ("new",), ("ZZ",)], "ticker string")
+    known = spark.createDataFrame([("BRK-B", "N", "77", "Berk"), ("ZZ", "O", "88", "Zed")], "ticker string, exchange string, cik string, company string")
+    figi = spark.createDataFrame([("BRK.B", "F1"), ("NEW", "F2")], "ticker string, figi string")
+    labels = spark.createDataFrame([("ZZ", "tech", "semi", None)], "ticker string, sector string, industry string, subindustry string")
+    got = {(r.security_id, r.symbol): r for r in master_build.extend_first(spark.createDataFrame(rows, schema), listing, "2025-03-03", "2024-12-31", known, figi, labels).collect()}
+    assert set(got) == {(1001, "BRK.B"), (1002, "OLD"), (1003, "new"), (1004, "new"), (1005, "ZZ")}
+    b, z, old = got[1001, "BRK.B"], got[1005, "ZZ"], got[1003, "new"]
+    assert (b.end_date, b.cik, b.company, b.exchange, b.share_class_figi, b.sector) == (day("2025-03-03"), "77", "Berk", "N", "F1", "f")
+    assert got[1002, "OLD"].end_date == day("2024-12-31") and (old.end_date, old.cik, old.exchange, old.share_class_figi) == (day("2010-01-01"), "5", "q", "F2")
+    assert (z.start_date, z.end_date, z.sector, z.industry, z.cik, z.share_class_figi) == (day("2025-03-03"), day("2025-03-03"), "tech", "semi", "88", None) and got[1004, "new"].company == ""
+
+
+def test_labels_by_industry_then_sector(spark):
+    mapping = [("industry", "Chips", "IT", "Semis", "Semiconductors"), ("sector", "Technology", "IT", None, None), ("sector", "Energy", "EN", None, None)]
+    m = spark.createDataFrame(mapping, "level string, name string, sector string, industry string, subindustry string")
+    rows = spark.createDataFrame([(1, "Energy", "Chips"), (2, "Energy", "Wells"), (3, None, None), (4, "No", "No")], "id int, sector_name string, industry_name string")
+    got = {r.id: (r.sector, r.industry, r.subindustry) for r in master_build.to_gics(rows, m).collect()}
+    assert got == {1: ("IT", "Semis", "Semiconductors"), 2: ("EN", None, None), 3: (None, None, None), 4: (None, None, None)}
+
+
+def test_symbols_as_listed(spark):
+    m = SecurityMaster(spark.createDataFrame([(1, "BRKB", day("2000-01-01"), day("2024-12-31")), (2, "AB", day("2000-01-01"), day("2010-01-01")), (3, "AB", day("2011-01-01"), day("2024-12-31"))], "security_id long, symbol string, start_date date, end_date date"))
+    listing = spark.createDataFrame([("BRK.B",), ("A-B",)], "ticker string")
+    asked = [("brk-b", "2015-01-01"), ("ab", "2005-01-01"), ("ab", "2015-01-01"), ("ab", None), ("gone", "2015-01-01"), ("", None), ("brkb", "1990-01-01")]
+    got = {(r.symbol, r.day): r.form for r in master_build.listed_form(spark.createDataFrame(asked, "symbol string, day string"), listing, m, "2024-12-31").collect()}
+    assert got == {asked[0]: "BRK.B", asked[1]: "AB", asked[2]: "A-B", asked[3]: "A-B", asked[4]: "GONE", asked[5]: "", asked[6]: "BRKB"}
+    assert {r.form for r in master_build.listed_form(spark.createDataFrame(asked[:2], "symbol string, day string"), listing).collect()} == {"BRK.B", "A-B"}
+
+
+def test_text_and_csv_tables(spark, tmp_path):
+    from pathlib import Path
+
+    store = Storage(spark, str(tmp_path))
+    store.write_text(spark.createDataFrame([("B",), ("A",)], "symbol string"), "top")
+    assert sorted(line for p in Path(tmp_path).rglob("part-*") for line in p.read_text().split()) == ["A", "B"]
