@@ -30,7 +30,7 @@ FIELDS = np.uint64(0x5555555555555555)
 #: Five standard deviations of the estimate at similarity 0.8: sqrt(.85 * .15 / 128) / .75 = 0.042.
 MARGIN = 0.21
 #: Rows of a bucket in one block, about.
-BLOCK = 1024
+BLOCK = 512
 #: An estimate that is hardly ever seen under 0.8.
 SURE = 0.9
 #: Tasks that hold the partners of one set, at most.
