@@ -26,14 +26,14 @@ from tessera.llm.words import Words, as_long, chunks, mix, spans_hash
 GRAM = 8
 #: Rows of the sketch, and the parts that each is merged in.
 DEPTH, SEGMENTS = 2, 256
-#: Bytes of text for which a row has a cell; texts hold a smallest run in 40 bytes, so two cells for each.
-CELL_BYTES = 20
+#: Bytes of text for which a row has a cell, in one pass and at least in several; texts hold a smallest run in 40 bytes.
+CELL_BYTES, TURN_BYTES = 10, 20
 #: Cells of a row, least and most: two bits a cell while merging, one when broadcast, so 128 MB for both rows at most.
 LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 29
 #: Passes over ranges of the hash, at most, where a row of MOST_WIDTH is too small for all runs.
 PASSES = 8
 #: Repeated windows held by a task before those it has seen earlier itself are set aside.
-HELD = 2_000_000
+HELD = 1_000_000
 LAST = (1 << 63) - 1
 
 
@@ -72,9 +72,8 @@ class Plan(NamedTuple):
 def plans(size: int, least: int = LEAST_WIDTH, most: int = MOST_WIDTH, passes: int = PASSES) -> list[Plan]:
     """The passes for `size` bytes of text. Beyond passes x most cells the sketch fills up: more windows reach the exact
     pass, with the same result."""
-    want = max(1, size // CELL_BYTES)
-    width = min(most, max(least, 1 << (want - 1).bit_length()))
-    turns = min(passes, -(-want // width))
+    width = min(most, max(least, 1 << (size // CELL_BYTES).bit_length()))
+    turns = max(1, min(passes, -(-size // (TURN_BYTES * width))))
     return [Plan(width, turns, i) for i in range(turns)]
 
 

@@ -14,7 +14,9 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text hashed at once; a longer document is a chunk of its own.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
+#: Values hashed at once.
+PIECE = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
@@ -43,10 +45,27 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each span; equal contents, equal hash, wherever they stand."""
+    """Hash of values[start:end] for each span, in order of start; equal contents, equal hash, wherever they stand.
+
+    Spans that start within PIECE values are hashed together, so a long text needs no more memory than a short one and its
+    longest span."""
+    if len(values) <= PIECE:
+        return _spans_hash(values, start, end)
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        lo, j = int(start[i]), int(np.searchsorted(start, start[i] + PIECE))
+        out[i:j] = _spans_hash(values[lo : int(end[i:j].max())], start[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
+def _spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=acc[1:])
+    term = values.astype(np.uint64)
+    term += np.uint64(1)
+    term *= up[:-1]
+    np.cumsum(term, out=acc[1:])
     return mix((acc[end] - acc[start]) * down[start])
 
 
@@ -63,6 +82,7 @@ class Words:
     sizes: np.ndarray  # bytes of each document
 
     def hashes(self, table: np.ndarray | None = None) -> np.ndarray:
+        """Of each word; of what table says of its bytes, if given."""
         return spans_hash(self.buf if table is None else table[self.buf], self.start, self.end)
 
     def grams(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
