@@ -1,7 +1,9 @@
 """Times the headline queries: prints one JSON line.
 
 BENCH_SF_DIR: folder of tables (default /root/testdata/sf0.1); BENCH_CPUS: threads (default 8). A query's seconds are the
-median of three runs after a warm-up, from building the plan to the last row, written to a sink that discards rows."""
+median of three runs after a warm-up, from building the plan to the last row, written to a sink that discards rows.
+
+BENCH_PANEL, say 2262x5704: only the formulas, once each, over a made panel of so many dates and symbols instead."""
 
 import json
 import os
@@ -28,6 +30,18 @@ FORMULAS = {
 }
 
 
+def made_panel(spark, dates, symbols):
+    """Seeded noise, one value in twenty missing; g has ten groups."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans.panel import Panel
+
+    noise = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) / float(1 << 20)
+    fields = {"open": noise(1) * 60000, "high": noise(2) * 60000, "low": noise(3) * 60000, "close": F.when(noise(4) > 0.05, noise(5) * 60000), "volume": noise(6) * 50, "unit": noise(7) + 0.5}
+    rows = spark.range(dates * symbols).select(F.date_add(F.lit("2015-01-01").cast("date"), (F.col("id") % dates).cast("int")).alias("date"), (F.col("id") % dates).cast("int").alias("date_idx"), F.format_string("S%05d", F.floor(F.col("id") / dates)).alias("symbol"), F.concat(F.lit("g"), F.floor(F.col("id") / dates) % 10).alias("g"), *(c.alias(n) for n, c in fields.items()))
+    return Panel(rows)
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
@@ -35,12 +49,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from tessera.plans.catalog import weekly_panel
-    from tessera.plans.panel import Panel
     from tessera.plans.run import compute
 
-    df = weekly_panel(spark, SF_DIR).df.cache()
-    df.count()
-    panel = Panel(df)
+    # kept as a store of fields keeps it: by symbol, in date order
+    size = os.environ.get("BENCH_PANEL")
+    panel = (made_panel(spark, *map(int, size.split("x"))) if size else weekly_panel(spark, SF_DIR)).by_symbol(int(CPUS) * (4 if size else 1))
+    panel.df.cache().count()
     took = {}
 
     def timed(name, make, runs=3):
@@ -53,7 +67,11 @@ def main() -> None:
         took[name] = round(median(once() for _ in range(runs)), 4)
 
     for name, f in FORMULAS.items():
-        timed(name, lambda f=f: compute(f, panel))
+        timed(name, lambda f=f: compute(f, panel), runs=1 if size else 3)
+    if size:
+        print(json.dumps({"metric": f"total seconds of the formulas over {size}", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took}))
+        spark.stop()
+        return
     timed("panel_build", lambda: weekly_panel(spark, SF_DIR).df)
     try:
         from tessera.llm.queries import QUERIES

@@ -60,29 +60,38 @@ def group_backfill(x: Expr, group: Expr, d: int, std: float = 4.0) -> Expr:
     """Missing values become the mean of the group's values of the last d dates, cut to mean plus and minus std deviations;
     null if there is none.
 
-    Values are gathered per group and date first; the window runs over these rows, one per group and date."""
+    Bounds come from moments of each group and date, a row each. The cut mean is the mean less what lies beyond the bounds:
+    only values that are beyond those of some window are brought to its dates, and summed in part before they move, so
+    no group is gathered."""
 
     def fn(df: DataFrame, name: str, a: Column, g: Column) -> DataFrame:
         rows = df.withColumns({"_gb_x": a, "_gb_g": g})
-        v = M.valid(F.col("_gb_x"))
-        days = rows.filter(F.col("_gb_g").isNotNull()).groupBy(F.col("_gb_g").alias("_gb_k"), F.col("date_idx").alias("_gb_i"))
-        days = days.agg(F.collect_list(v).alias("all"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        last = Window.partitionBy("_gb_k").orderBy("_gb_i").rangeBetween(-(d - 1), 0)
-        sum_of = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, y: s + f(y))
-        days = days.select(
-            "_gb_k", "_gb_i", F.flatten(F.collect_list("all").over(last)).alias("seen"), F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean"))).over(last).alias("parts"), F.sum("n").over(last).cast("double").alias("n"),
+        x, key = F.col("_gb_x"), ["_gb_g", "date_idx"]
+        v = M.valid(x)
+        of_days = rows.filter("_gb_g IS NOT NULL").groupBy(*key).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        dates = Window.partitionBy("_gb_g").orderBy("date_idx")
+        last, ahead = dates.rangeBetween(-(d - 1), 0), dates.rangeBetween(0, d - 1)
+        days = of_days.select(
+            *key, F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean"))).over(last).alias("parts"), F.sum("n").over(last).cast("double").alias("n"),
             F.try_divide(F.sum(F.col("mean") * F.col("n")).over(last), F.sum("n").over(last).cast("double")).alias("mean"), F.sum(F.col("var") * F.col("n")).over(last).alias("within"), F.min("lo").over(last).alias("lo"), F.max("hi").over(last).alias("hi"),
         )
         mean = F.col("mean")
         # the spread within days and that of the days' means: few terms, and no difference of large squares
-        between = sum_of(F.col("parts"), lambda p: p["n"] * (p["mean"] - mean) * (p["mean"] - mean))
+        between = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["n"] * (p["mean"] - mean) * (p["mean"] - mean))
         days = days.withColumn("var", F.try_divide(F.col("within") + between, F.col("n")))
         days = days.withColumns({"least": mean - F.sqrt("var") * float(std), "most": mean + F.sqrt("var") * float(std)})
-        cut = sum_of(F.col("seen"), lambda y: F.greatest(F.least(y, F.col("most")), F.col("least")))
         whole = (F.col("n") == 1) | (F.col("var") <= 0) | (F.col("lo") >= F.col("least")) & (F.col("hi") <= F.col("most"))
-        fill = F.when(whole, mean).otherwise(F.try_divide(cut, F.col("n")))
-        days = days.select("_gb_k", "_gb_i", fill.alias("_gb_fill"))
-        out = rows.join(days, (F.col("_gb_g") == F.col("_gb_k")) & (F.col("date_idx") == F.col("_gb_i")), "left")
-        return out.withColumn(name, F.when(M.ok(F.col("_gb_x")), F.col("_gb_x")).otherwise(F.col("_gb_fill"))).drop("_gb_x", "_gb_g", "_gb_k", "_gb_i", "_gb_fill")
+        days = days.select(*key, "n", "mean", "least", "most", F.coalesce(~whole, F.lit(False)).alias("bites"))
+        bites = lambda c: F.when(F.col("bites"), F.col(c))
+        # the narrowest bounds of the windows that a date's values are in
+        narrow = days.select(*key, F.max(bites("least")).over(ahead).alias("_gb_low"), F.min(bites("most")).over(ahead).alias("_gb_high")).filter("_gb_low IS NOT NULL")
+        far = rows.filter(M.ok(x)).select(*key, "_gb_x").join(narrow, key).filter((x < F.col("_gb_low")) | (x > F.col("_gb_high")))
+        far = far.select("_gb_g", F.explode(F.sequence(F.col("date_idx"), F.col("date_idx") + (d - 1))).alias("date_idx"), "_gb_x")
+        beyond = F.when(x > F.col("most"), x - F.col("most")).when(x < F.col("least"), x - F.col("least"))
+        far = far.join(days.filter("bites").select(*key, "least", "most"), key).groupBy(*key).agg(F.sum(beyond).alias("_gb_far"))
+        fill = mean - F.coalesce(F.try_divide(F.col("_gb_far"), F.col("n")), F.lit(0.0))
+        days = days.join(far, key, "left").select(*key, fill.alias("_gb_fill"))
+        out = rows.join(days, key, "left")
+        return out.withColumn(name, F.when(M.ok(x), x).otherwise(F.col("_gb_fill"))).drop("_gb_x", "_gb_g", "_gb_fill")
 
     return window("group_backfill", FRAME, fn, _double(x), group, params=(d, std))

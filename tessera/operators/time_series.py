@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -312,19 +314,28 @@ def hump(x: Expr, hump_factor: float = 0.01) -> Expr:
 
 def _follow(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, before = object(), None
+        symbol, now = object(), math.nan
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("symbol").dictionary_encode(null_encoding="encode")
+            code = codes.indices.to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+            # a null is a NaN here: both pass through, as NaN
+            xs, limits = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_hump_x", "_hump_limit"))
             out = []
-            for s, x, most in zip(batch.column("symbol").to_pylist(), batch.column("_hump_x").to_pylist(), batch.column("_hump_limit").to_pylist(), strict=True):
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                s = codes.dictionary[int(code[lo])].as_py()
                 if s != symbol:
-                    symbol, now = s, x
-                elif x is None or x != x or before is None or before != before:
-                    now = x
-                else:
-                    step = x - before
-                    now = before + min(abs(step), most) * (1 if step > 0 else -1 if step < 0 else 0)
-                before = now
-                out.append(float("nan") if now is None else now)
+                    symbol, now = s, math.nan
+                for x, most in zip(xs[lo:hi], limits[lo:hi], strict=True):
+                    if x != x or now != now:
+                        now = x
+                    else:
+                        step = x - now
+                        # an infinite step less itself is NaN, and so passes as it is
+                        now = x if -most <= step <= most else now + most if step > 0 else now - most if step < 0 else math.nan
+                    out.append(now)
             keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_hump_x", "_hump_limit")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.float64())], names=[*(batch.schema.names[i] for i in keep), name])
 

@@ -81,6 +81,12 @@ class Panel:
             df = df.filter(F.col(DATE) <= F.lit(end).cast("date"))
         return Panel(df)
 
+    def by_symbol(self, partitions: int | None = None) -> Panel:
+        """The same rows dealt by symbol and in date order: kept so, in memory or in a bucketed table, windows over the rows
+        of a symbol need neither exchange nor sort, however many formulas read the panel."""
+        n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return Panel(self.df.repartition(n, SYMBOL).sortWithinPartitions(SYMBOL, INDEX))
+
     @property
     def spark(self) -> SparkSession:
         return self.df.sparkSession

@@ -1,7 +1,7 @@
 """Plain Python versions of the operators that roll, rank or recurse. None is null, nan is NaN."""
 
 import math
-from statistics import NormalDist
+from statistics import NormalDist, fmean, pstdev
 
 NAN = float("nan")
 
@@ -145,3 +145,12 @@ def regression(ys, xs, i, d, kind):
         return NAN
     sb, sa = math.sqrt(rest / (d - 2) / sxx), math.sqrt(rest / (d - 2) * (1 / d + mx * mx / sxx))
     return [beta / sb, alpha / sa, sb, sa][kind - 6]
+
+
+def group_backfill(x, g, group, i, d, std):
+    """What fills a missing value of the group on day i."""
+    seen = [x[s][k] for s in x for k in range(max(0, i - d + 1), i + 1) if g[s][k] == group and ok(x[s][k])]
+    if group is None or not seen:
+        return None
+    mean, dev = fmean(seen), pstdev(seen)
+    return fmean(max(mean - std * dev, min(mean + std * dev, v)) for v in seen)

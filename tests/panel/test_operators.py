@@ -143,6 +143,28 @@ def test_groups(spark):
     assert close(v["b"]["A"][2], (20 + 25 + 35) / 3) and v["b"]["F"][0] == 4.0
 
 
+@pytest.mark.parametrize(("d", "std"), [(1, 1.0), (3, 2.0), (5, 1.0), (10, 0.5), (4, 4.0)])
+def test_group_backfill_cuts_what_lies_beyond(spark, d, std):
+    rng = random.Random(3)
+    names, days = [f"S{j:02d}" for j in range(20)], 16
+    x = {s: [rng.choice([None, NAN, 1.0, rng.gauss(0, 1), rng.gauss(0, 1) * rng.choice([1, 50])]) for _ in range(days)] for s in names}
+    g = {s: [[None, "a", "b", "a"][(j + i // 7) % 4] for i in range(days)] for j, s in enumerate(names)}
+    got = values(compute(f"group_backfill(x, g, {d}, {std})", make(spark, {"x": x, "g": g})))
+    for s in names:
+        want = [x[s][i] if O.ok(x[s][i]) else O.group_backfill(x, g, g[s][i], i, d, std) for i in range(days)]
+        assert all(close(a, b) for a, b in zip(got[s], want, strict=True)), s
+
+
+def test_panel_kept_by_symbol_needs_no_exchange(spark, data):
+    p = make(spark, {"x": data["x"]}).by_symbol(3)
+    p.df.cache().count()
+    try:
+        plan = compute("ts_mean(x, 5) + ts_delta(x, 2)", p)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+        assert "Window" in plan and "Exchange" not in plan and "Sort" not in plan
+    finally:
+        p.df.unpersist()
+
+
 def test_nulls_and_nan_stay_apart(spark):
     p = make(spark, {"x": {"A": [100.0, None, NAN, None, 105.0]}, "y": {"A": [0.0, 0.0, 0.0, 2.0, 0.0]}})
     df = compute_all({"c": "ts_count_nans(x, 3)", "f": "ts_backfill(x, 2)", "n": "is_nan(x)", "d": "divide(x, y)", "o": "x / y", "l": "log(y)", "g": "ops.log(y)", "a": "add(x, y, filter=1)", "e": "if_else(gt(x, 1), 1, 2)", "k": "~y", "q": "y == 0"}, p).orderBy("date_idx").collect()
