@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python; whole documents, so kept small.
-BATCH_ROWS = 400
+#: Rows and bytes per Arrow batch handed to Python; whole documents, so kept small. A row of more bytes is a batch alone.
+BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small enough for a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,6 +32,8 @@ CELL_BYTES, TURN_BYTES = 10, 20
 LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 29
 #: Passes over ranges of the hash, at most, where a row of MOST_WIDTH is too small for all runs.
 PASSES = 8
+#: Smallest runs that a task counts at once.
+COUNTED = 2_000_000
 #: Repeated windows held by a task before those it has seen earlier itself are set aside.
 HELD = 1_000_000
 LAST = (1 << 63) - 1
@@ -129,7 +131,7 @@ def _sketch(size: int, fan: int, plan: Plan):
                 g = spans_hash(h, p, np.minimum(p + min(GRAM, size), len(h)))
                 found.append(g[plan.mine(g)])
                 total += len(found[-1])
-            if total > 8_000_000:
+            if total > COUNTED:
                 yield emit()
                 total = 0
         yield emit()
