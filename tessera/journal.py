@@ -1,6 +1,7 @@
 """A journal of formulas and their results, gated by correlation with what is already accepted.
 
-Tables are Parquet folders; an update rewrites a table beside the old one and then takes its place."""
+Tables are Parquet folders that only grow: an acceptance or a removal is a row of marks, applied when a table is read, so
+writers at the same time lose nothing of each other. A check sees what was written before it began."""
 
 from __future__ import annotations
 
@@ -15,9 +16,10 @@ from tessera.sources.storage import Storage
 
 CORRELATION, IMPROVEMENT = 0.7, 10.0
 SCHEMAS = {
-    "alphas": "alpha_id string, name string, tags string, created_at string",
+    "alphas": "alpha_id string, name string, tags array<string>, created_at string",
     "versions": "version_id string, alpha_id string, formula string, sharpe double, status string, pnl array<struct<date: string, ret: double>>, created_at string",
     "correlations": "new_id string, version_id string, corr double, new_sharpe double, sharpe double, improvement double, passed boolean",
+    "marks": "kind string, id string",
 }
 
 
@@ -41,18 +43,27 @@ class Journal:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Storage(spark, root)
 
-    def table(self, name: str) -> DataFrame:
+    def _written(self, name: str) -> DataFrame:
         return self.store.scan_parquet(name) if self.store.exists(name) else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def _append(self, name: str, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, SCHEMAS[name]).write.mode("append").parquet(self.store.path(name))
+    def _marked(self, kind: str, column: str) -> DataFrame:
+        return self._written("marks").filter(F.col("kind") == kind).select(F.col("id").alias(column)).distinct()
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        side = f"{name}-{uuid.uuid4().hex}"
-        self.store.write_parquet(df, side)
-        self.store.write_parquet(self.store.scan_parquet(side), name)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store.path(side))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def table(self, name: str) -> DataFrame:
+        """A table as it stands: without what was removed, and with what was accepted later."""
+        df, gone = self._written(name), self._marked("deleted", "alpha_id")
+        if name in ("alphas", "versions"):
+            df = df.join(gone, "alpha_id", "left_anti")
+        if name == "versions":
+            forced = self._marked("submitted", "version_id").withColumn("_forced", F.lit(True))
+            df = df.join(forced, "version_id", "left").withColumn("status", F.when(F.col("_forced"), "submitted").otherwise(F.col("status")))
+        if name == "correlations":
+            ids = self._written("versions").join(gone, "alpha_id", "left_semi").select("version_id")
+            df = df.join(ids.withColumnRenamed("version_id", "new_id"), "new_id", "left_anti").join(ids, "version_id", "left_anti")
+        return df.select(*self._written(name).columns)
+
+    def _append(self, name: str, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1).write.mode("append").parquet(self.store.path(name))
 
     def submit(self, name: str, formula: str, pnl: list[tuple[str, float]], sharpe: float, tags: list[str] = (), force: bool = False) -> tuple[str, bool, list]:
         """(version id, whether it was accepted, what blocks it): checked against all accepted versions, then recorded."""
@@ -64,7 +75,7 @@ class Journal:
         known = self.table("alphas").filter(F.col("name") == name).first()
         alpha = known["alpha_id"] if known else uuid.uuid4().hex
         if not known:
-            self._append("alphas", [(alpha, name, ",".join(tags), now)])
+            self._append("alphas", [(alpha, name, list(tags), now)])
         version = uuid.uuid4().hex
         status = "submitted" if force or not blocking else "pending"
         self._append("versions", [(version, alpha, formula, float(sharpe), status, [(d, float(r)) for d, r in pnl], now)])
@@ -73,8 +84,7 @@ class Journal:
         return version, status == "submitted", blocking
 
     def force_submit(self, version_id: str) -> None:
-        v = self.table("versions")
-        self._replace("versions", v.withColumn("status", F.when(F.col("version_id") == version_id, "submitted").otherwise(F.col("status"))))
+        self._append("marks", [("submitted", version_id)])
 
     def submitted(self) -> DataFrame:
         return self.table("versions").filter("status = 'submitted'").join(self.table("alphas").select("alpha_id", "name"), "alpha_id")
@@ -89,9 +99,4 @@ class Journal:
 
     def delete(self, alpha_id: str) -> None:
         """Removes it, its versions and their correlations."""
-        gone = self.table("versions").filter(F.col("alpha_id") == alpha_id).select("version_id")
-        c = self.table("correlations")
-        c = c.join(gone.withColumnRenamed("version_id", "new_id"), "new_id", "left_anti").join(gone, "version_id", "left_anti").select(*c.columns)
-        self._replace("correlations", c)
-        for t in ("versions", "alphas"):
-            self._replace(t, self.table(t).filter(F.col("alpha_id") != alpha_id))
+        self._append("marks", [("deleted", alpha_id)])

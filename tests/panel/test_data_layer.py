@@ -9,7 +9,7 @@ from tessera.client import Client
 from tessera.journal import Journal
 from tessera.plans.errors import NoSuchKeyError, SecurityNotFoundError, StorageError, UnknownFieldError
 from tessera.plans.fields import FIELDS, build, build_order
-from tessera.profiler import profile
+from tessera.profiler import measured, profile
 from tessera.sources import fundamentals, master_build, tagging, ticks, universe
 from tessera.sources.calendar import TradingCalendar
 from tessera.sources.objects import ObjectStore
@@ -114,7 +114,8 @@ def test_fields(spark):
 def test_journal(spark, tmp_path):
     j = Journal(spark, str(tmp_path))
     pnl = [(f"2024-01-{i + 1:02d}", r) for i, r in enumerate([0.1, -0.2, 0.3, 0.05])]
-    v1, ok1, _ = j.submit("one", "rank(close)", pnl, 1.0)
+    v1, ok1, _ = j.submit("one", "rank(close)", pnl, 1.0, tags=["a, b", "c"])
+    assert j.table("alphas").first()["tags"] == ["a, b", "c"]
     v2, ok2, block = j.submit("two", "rank(open)", pnl, 1.05)
     v3, ok3, _ = j.submit("three", "x", pnl, 1.2)
     assert ok1 and not ok2 and block[0]["version_id"] == v1 and math.isclose(block[0]["improvement"], 5.0, rel_tol=1e-9) and ok3
@@ -122,6 +123,12 @@ def test_journal(spark, tmp_path):
     assert j.submitted().count() == 3 and j.correlations(v2).count() == 1
     j.delete(j.table("versions").filter(F.col("version_id") == v1).first()["alpha_id"])
     assert j.submitted().count() == 2 and j.correlations(v2).count() == 0
+    # two writers: an acceptance and a removal that know nothing of each other
+    one, two = Journal(spark, str(tmp_path)), Journal(spark, str(tmp_path))
+    v4, ok4, _ = one.submit("four", "y", pnl, 1.1)
+    two.delete(two.table("versions").filter(F.col("version_id") == v3).first()["alpha_id"])
+    one.force_submit(v4)
+    assert not ok4 and {r["version_id"] for r in j.submitted().collect()} == {v2, v4} and one.submit("one", "z", pnl, 9.0)[1]
 
 
 def test_objects(tmp_path):
@@ -169,6 +176,14 @@ def test_profile(spark):
     assert p.operators == {"rank": 1, "ts_mean": 1} and p.windows == 3 and p.levels == 2 and p.nodes["Window"] >= 2
 
 
+def test_measured(spark):
+    df = spark.createDataFrame([(day("2024-01-01"), s, float(i)) for i, s in enumerate("ABCDE")], "date date, symbol string, x double")
+    steps = measured(compute("rank(ts_mean(x, 3))", Panel.densify(df)))
+    assert {"Window", "Exchange"} <= {s.node for s in steps}
+    assert max(s.rows for s in steps if s.node == "Exchange" and s.rows is not None) == 5
+    assert any(s.milliseconds is not None for s in steps)
+
+
 def test_streaming(spark, tmp_path):
     from tessera.streaming.stateful import bars, carry_forward
 
