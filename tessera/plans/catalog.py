@@ -223,12 +223,19 @@ def shift(digits: int) -> float:
     return 1.7 * 10.0 ** -(digits + 1)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """As DuckDB rounds doubles: scaled, to the nearest whole number, scaled back. F.round goes by decimal digits instead, and
+    parts from it where scaling gives an exact half that the digits are not, such as 3375.9980499999997 to four digits."""
+    scaled = c * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < F.lit(M.INF), F.round(scaled) / F.lit(10.0**digits)).otherwise(c)
+
+
 def settle(c: Column, kind: str, digits: int | None) -> Column:
     """NaN as null, and rounded, for comparison; infinities stay."""
     if kind not in ("double", "float") or digits is None:
         return c.cast("bigint") if kind in ("int", "bigint") else c
     # a small shift keeps exact halves from rounding by the last bit; adding 0.0 turns a negative zero into a positive one
-    return F.when(~F.isnan(c), F.round(c + F.lit(shift(digits)), digits) + F.lit(0.0))
+    return F.when(~F.isnan(c), rounded(c + F.lit(shift(digits)), digits) + F.lit(0.0))
 
 
 def query(case: Case) -> Callable[[SparkSession, str], DataFrame]:

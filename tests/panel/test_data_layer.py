@@ -237,6 +237,31 @@ def test_the_registered_matrix_has_all_symbols(spark, tmp_path):
     assert [r.date for r in got.collect()] == sorted({d for d, _ in want})
 
 
+def test_arithmetic_rounds_as_its_sql(spark, tmp_path):
+    """Cells that lie on a half of the fourth digit once shifted: 2 * (close + 1) - high / 1000 ** 2 ends in 33."""
+    import duckdb
+
+    from tessera.plans import catalog
+
+    cells = [(1967, 967, 1687), (39367, 38367, 39367), (54067, 53067, 53067), (25367, 24367, 25367), (63248, 43787, 43787), (64972, 58317, 58317), (5000, 5000, 5000), (5000, 4999, 4999)]
+    rows = [(3 * k + j, 1, k + 1, dt.datetime(2020, 1, 6), 1.0, float(price)) for k, (high, low, close) in enumerate(cells) for j, price in enumerate((high, low, close))]
+    write_tables(spark, str(tmp_path), rows, range(1, len(cells) + 1))
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {r[1]: r[2] for r in con.execute(catalog.ORACLE_SQL["lang_arithmetic"]).fetchall()}
+    got = {r.symbol: r.value for r in catalog.QUERIES["lang_arithmetic"](spark, str(tmp_path)).collect()}
+    assert got == want and got["00000001"] == 3375.9981
+
+
+def test_rounding_of_large_and_missing_values(spark):
+    from tessera.plans.catalog import settle
+
+    values = [1e308, -1e308, math.inf, -math.inf, math.nan, None, -0.0, 1e17, -2.00005]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(settle(F.col("v"), "double", 4).alias("x")).collect()]
+    assert got == [1e308, -1e308, math.inf, -math.inf, None, None, 0.0, 1e17, -2.0]
+
+
 def test_ticks_of_all_months_are_parsed(spark, tmp_path):
     from zoneinfo import ZoneInfo
 
