@@ -5,14 +5,20 @@ join facts. The calendar and the symbols are one row per date and per symbol; th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.plans.errors import ColumnMismatchError, DateMismatchError, PanelError
 
 DATE, INDEX, SYMBOL = "date", "date_idx", "symbol"
 #: Rows of a calendar that may be broadcast; longer ones are joined by shuffling.
 CALENDAR_LIMIT = 1_000_000
+#: Cells of a matrix that one task widens, and that it holds at once.
+PART_CELLS, BATCH_CELLS = 1 << 25, 1 << 19
 
 
 class Panel:
@@ -66,9 +72,14 @@ class Panel:
         return panel
 
     def to_wide(self, value: str) -> DataFrame:
-        """The matrix of one field: date and a column for each symbol."""
+        """The matrix of one field: date and a column for each symbol, in order of dates. Rows travel tall, each to the part that
+        holds its date, and are widened there: a pivot's plan has several expressions for each symbol, on the driver."""
         names = sorted(r[0] for r in self.df.select(SYMBOL).distinct().collect())
-        return self.df.groupBy(DATE).pivot(SYMBOL, names).agg(F.first(value)).orderBy(DATE)
+        tall = self.df.select(DATE, SYMBOL, F.col(value).alias("value"))
+        kind = {f.name: f.dataType for f in tall.schema}
+        schema = StructType([StructField(DATE, kind[DATE]), *(StructField(str(s), kind["value"]) for s in names)])
+        parts = -(-tall.select(DATE).distinct().count() * len(names) // PART_CELLS) or 1
+        return tall.repartitionByRange(parts, DATE).sortWithinPartitions(DATE).mapInArrow(_widened(names), schema)
 
     def with_fields(self, **columns: Column) -> Panel:
         return Panel(self.df.withColumns(columns))
@@ -97,5 +108,53 @@ def _unpivot_arrays(df: DataFrame, date: str, symbols: tuple[str, ...], name: st
     return df.select(F.col(date).cast("date").alias(DATE), F.inline(pairs))
 
 
+def _widened(names: list) -> Callable[[Iterator], Iterator]:
+    """Rows of date, symbol and value, in order of dates, to a row for each date. The first row of a date and symbol holds."""
+    most = max(1, BATCH_CELLS // max(1, len(names)))
+
+    def widen(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        columns = [DATE, *map(str, names)]
+
+        def matrix(days):
+            values = pa.concat_arrays([v for _, parts in days for _, v in parts])
+            source = np.full((len(names), len(days)), -1)
+            at = 0
+            for j, (_, parts) in enumerate(days):
+                places = np.concatenate([p for p, _ in parts])
+                source[places[::-1], j] = np.arange(at, at + len(places))[::-1]
+                at += len(places)
+            source = source.ravel()
+            cells = values.take(pa.array(source, mask=source < 0))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([d for d, _ in days]), *(cells.slice(k * len(days), len(days)) for k in range(len(names)))], columns)
+
+        known = None
+        days: list = []  # a date, and the places and values of its rows, batch by batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dates, symbols, values = batch.columns
+            known = pa.array(names, symbols.type) if known is None else known
+            places = pc.index_in(symbols, known).to_numpy(zero_copy_only=False)
+            codes = dates.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            for a, b in pairwise(starts):
+                part = (places[a:b], values.slice(a, b - a))
+                if days and days[-1][0][0].as_py() == dates[a].as_py():
+                    days[-1][1].append(part)
+                    continue
+                if len(days) == most:
+                    yield matrix(days)
+                    days = []
+                days.append((dates.slice(a, 1), [part]))
+        if days:
+            yield matrix(days)
+
+    return widen
+
+
 def _small(dates: DataFrame) -> bool:
     return dates.limit(CALENDAR_LIMIT + 1).count() <= CALENDAR_LIMIT

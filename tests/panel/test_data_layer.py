@@ -237,6 +237,29 @@ def test_the_registered_matrix_has_all_symbols(spark, tmp_path):
     assert [r.date for r in got.collect()] == sorted({d for d, _ in want})
 
 
+def test_a_matrix_is_widened_without_a_pivot(spark, monkeypatch):
+    """Batches, tasks and dates need not coincide; dates and symbols without facts stay; the plan has no expression for each symbol."""
+    from tessera.plans import panel as module
+
+    monkeypatch.setattr(module, "PART_CELLS", 15, raising=False)
+    monkeypatch.setattr(module, "BATCH_CELLS", 10, raising=False)
+    days, names = [dt.date(2024, 1, d) for d in range(1, 12)], [f"s{k}" for k in range(5)]
+    facts = [(d, s, float(i * 10 + j) if i % 3 else None, f"{s}.{i}") for i, d in enumerate(days) for j, s in enumerate(names) if (i + j) % 4 and i != 6 and j != 3]
+    df = spark.createDataFrame(facts, "date date, symbol string, x double, name string")
+    p = Panel.densify(df, spark.createDataFrame([(d,) for d in days], "date date"), spark.createDataFrame([(s,) for s in names], "symbol string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for place, field in ((2, "x"), (3, "name")):
+            want = {(f[0], f[1]): f[place] for f in facts}
+            wide = p.to_wide(field)
+            assert wide.columns == ["date", *names] and wide.dtypes[1][1] == dict(df.dtypes)[field]
+            assert [tuple(r) for r in wide.collect()] == [(d, *(want.get((d, s)) for s in names)) for d in days]
+            assert "pivot" not in wide._jdf.queryExecution().analyzed().toString().lower()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Panel.densify(df.limit(0)).to_wide("x").collect() == []
+
+
 def test_arithmetic_rounds_as_its_sql(spark, tmp_path):
     """Cells that lie on a half of the fourth digit once shifted: 2 * (close + 1) - high / 1000 ** 2 ends in 33."""
     import duckdb
